@@ -71,3 +71,14 @@ def embedding_columns(spark: SparkSession, sf_dir: str, dimensions: int = 64) ->
     """`embeddings` with one column per dimension: vec_id, label, e0, e1, ..."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr(
         "vec_id", "label", *[f"cast(embedding[{i}] as double) as e{i}" for i in range(dimensions)])
+
+
+def rounding(c: str) -> str:
+    """Comparable value: at least 9 significant digits, the same text in every engine.
+
+    The small offsets move short decimals off the rounding ties, which engines break differently; -0.0 becomes 0.0.
+    """
+    return (
+        f"CASE WHEN abs({c}) < 1e4 THEN round({c} + 31e-9, 6) WHEN abs({c}) < 1e8 THEN round({c} + 31e-6, 3) "
+        f"ELSE round({c} + 31e-3, 0) END + 0e0"
+    )

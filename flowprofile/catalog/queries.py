@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowprofile.catalog.fixtures import RANK_SQL, embedding_columns, flows, flows_from, given_cluster
+from flowprofile.catalog.fixtures import RANK_SQL, embedding_columns, flows, flows_from, given_cluster, rounding
 from flowprofile.config import DEFAULT_FEATURES, EVALUATION_ROWS, LABEL_COLUMN, PipelineConfig
 from flowprofile.functions.columns import q
 from flowprofile.functions.storage import new_path
@@ -52,11 +52,6 @@ def forget() -> None:
     _KEPT.clear()
 
 
-def rounding(c: str) -> str:
-    """Same text in both engines; keeps 9 or more significant digits and turns -0.0 into 0.0."""
-    return f"CASE WHEN abs({c}) < 1e4 THEN round({c}, 6) WHEN abs({c}) < 1e8 THEN round({c}, 3) ELSE round({c}, 0) END + 0e0"
-
-
 def comparable(df: DataFrame) -> DataFrame:
     """DOUBLE columns rounded for comparison; NaN, which only raw tables hold, as null."""
     return df.selectExpr(*[
@@ -81,7 +76,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> prep.Prepared:
 
 def given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, unscaled flows with the given cluster."""
-    return cleaned(spark, sf_dir).selectExpr("*", f"{given_cluster()} as cluster")
+    return prepared(spark, sf_dir).cleaned.selectExpr(*map(q, ROWS), f"{given_cluster()} as cluster")
 
 
 def given_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +102,10 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusterings `label % k` of the embeddings, compared for k = 2..8."""
+    return once("embedding_metrics", spark, sf_dir, lambda: _embedding_metrics(spark, sf_dir))
+
+
+def _embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = embedding_columns(spark, sf_dir)
     names = [c for c in table.columns if c.startswith("e")]
     sample = evaluate.evaluation_sample(table, key=["vec_id"]).selectExpr("*", *[f"label % {k} as c{k}" for k in EMBEDDING_KS])
@@ -217,7 +216,7 @@ def scale_before_after(spark, sf_dir):
 
 @register
 def skewness_info(spark, sf_dir):
-    return comparable(profile.skewness_info(cleaned(spark, sf_dir), FEATURES))
+    return comparable(profile.skewness_info(prepared(spark, sf_dir).cleaned, FEATURES))
 
 
 @register
@@ -268,7 +267,7 @@ def box_stats(spark, sf_dir):
 
 @register
 def feature_ranges(spark, sf_dir):
-    return comparable(profile.feature_ranges(cleaned(spark, sf_dir), FEATURES))
+    return comparable(profile.feature_ranges(prepared(spark, sf_dir).cleaned, FEATURES))
 
 
 # ---- projection, cleaning, transformation, scaling
@@ -310,13 +309,13 @@ def clean_report(spark, sf_dir):
 
 @register
 def skewed_features(spark, sf_dir):
-    names = prep.skewed_features(cleaned(spark, sf_dir), FEATURES)
+    names = prep.skewed_features(prepared(spark, sf_dir).cleaned, FEATURES)
     return spark.createDataFrame([(f,) for f in names], "feature string")
 
 
 @register
 def log_shifts(spark, sf_dir):
-    return comparable(prep.log_shifts(cleaned(spark, sf_dir), FEATURES))
+    return comparable(prep.log_shifts(prepared(spark, sf_dir).cleaned, FEATURES))
 
 
 @register

@@ -215,6 +215,10 @@ def pick_default_k(trained: Sequence[int], default: int = DEFAULT_K) -> int:
     return default if default in trained else min(trained)
 
 
+# Distances are handed on through a one-element `explode`: the optimizer then treats them as a column and neither
+# repeats the long expression in every later filter and projection nor reasons about it when it infers join filters.
+
+
 def distances_sql(features: Sequence[str], centers: Sequence[Sequence[float]]) -> str:
     """Array of Euclidean distances to literal centroids: plain arithmetic, generated code, no UDF."""
     return "array(" + ", ".join(f"sqrt({squared_distance_sql(features, c)})" for c in centers) + ")"
@@ -228,7 +232,7 @@ def nearest_sql(distances: str) -> str:
 def assign_clusters(df: DataFrame, features: Sequence[str], centers: Sequence[Sequence[float]], column: str = "cluster") -> DataFrame:
     """Scaled rows plus the nearest centroid's index. One projection, no job."""
     require_columns(df, features)
-    with_distances = df.selectExpr("*", f"{distances_sql(features, centers)} as _distances")
+    with_distances = df.selectExpr("*", f"explode(array({distances_sql(features, centers)})) as _distances")
     return with_distances.selectExpr(*[q(c) for c in df.columns], f"{nearest_sql('_distances')} as {q(column)}")
 
 

@@ -27,11 +27,12 @@ def score_flows(
     kept = df.columns
     scaled = preprocessor.transform_new(df.selectExpr(*[q(f) for f in names], f"struct({', '.join(q(c) for c in kept)}) as _row"), on_bad)
     extra = ["reasons"] if on_bad == "route" else []
-    measured = scaled.selectExpr("_row", *extra, f"{distances_sql(names, centers)} as _d")
-    usable = "size(reasons) = 0" if extra else "true"
-    return measured.selectExpr(
-        "_row.*", f"case when {usable} then {nearest_sql('_d')} end as cluster",
-        f"case when {usable} then array_min(_d) end as nearest_distance", f"case when {usable} then _d end as distances", *extra)
+    measured = distances_sql(names, centers)
+    if extra:
+        # A scaled feature is null exactly where a row cannot be scored.
+        measured = f"case when {' and '.join(f'{q(f)} is not null' for f in names)} then {measured} end"
+    return scaled.selectExpr("_row", *extra, f"explode(array({measured})) as distances").selectExpr(
+        "_row.*", f"{nearest_sql('distances')} as cluster", "array_min(distances) as nearest_distance", "distances", *extra)
 
 
 def distance_ranking(scored: DataFrame, key: Sequence[str]) -> DataFrame:
