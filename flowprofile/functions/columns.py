@@ -94,7 +94,3 @@ def percent_sql(part: str, whole: str) -> str:
     """Percentage to two decimals, half-even; 0 for an empty table."""
     return f"coalesce(bround(try_divide(cast({part} as double), cast({whole} as double)) * 100D, 2), 0D)"
 
-
-def squared_distance_sql(names: Sequence[str], center: Sequence[float]) -> str:
-    """Squared Euclidean distance from a row's columns to a literal point."""
-    return " + ".join(f"({q(n)} - {number(c)}) * ({q(n)} - {number(c)})" for n, c in zip(names, center, strict=True))

@@ -166,15 +166,28 @@ class FittedPreprocessor:
         """The step before scaling."""
         return log_transform(df, self.skewed, {p.feature: p.shift for p in self.parameters if p.log})
 
-    def check(self, df: DataFrame) -> DataFrame:
-        """Input plus `reasons`: why a row cannot be scored (empty array when it can)."""
+    def scaled_array(self, df: DataFrame) -> DataFrame:
+        """`_row` (the input columns as a struct) and `_scaled` (the features in model order); for rows known to be clean."""
         require_columns(df, self.features)
-        finite = {p.feature: finite_or_null(f"cast({q(p.feature)} as double)") for p in self.parameters}
-        reasons = ", ".join(
-            f"case when ({finite[p.feature]}) is null then {text('missing or infinite: ' + p.feature)} "
-            f"when ({finite_or_null(p.sql())}) is null then {text('not finite after preprocessing: ' + p.feature)} end"
-            for p in self.parameters)
-        return df.selectExpr("*", f"array_compact(array({reasons})) as reasons")
+        whole = ", ".join(q(c) for c in df.columns)
+        return df.selectExpr(f"struct({whole}) as _row", f"array({', '.join(p.sql() for p in self.parameters)}) as _scaled")
+
+    def checked_array(self, df: DataFrame) -> DataFrame:
+        """`_row`, `_scaled` (null elements where not finite) and `reasons`: why a row cannot be scored, empty when it can."""
+        require_columns(df, self.features)
+        whole = ", ".join(q(c) for c in df.columns)
+        raw = "array(" + ", ".join(f"cast({q(f)} as double)" for f in self.features) + ")"
+        both = df.selectExpr(f"struct({whole}) as _row", f"{raw} as _raw", f"array({', '.join(p.sql() for p in self.parameters)}) as _scaled")
+        # Short code for all features at once: spelled out per feature it outgrows what the JVM compiles.
+        usable = "transform({0}, v -> case when abs(v) < double('Infinity') then v end)"
+        finite = both.selectExpr("_row", f"{usable.format('_raw')} as _raw", f"{usable.format('_scaled')} as _scaled")
+        names = "array(" + ", ".join(text(f) for f in self.features) + ")"
+        told = (
+            f"array_compact(transform({names}, (n, i) -> case when _raw[i] is null then concat('missing or infinite: ', n) "
+            "when _scaled[i] is null then concat('not finite after preprocessing: ', n) end))"
+        )
+        return finite.selectExpr(
+            "_row", "_scaled", f"case when exists(_scaled, v -> v is null) then {told} else cast(array() as array<string>) end as reasons")
 
     def transform_new(self, df: DataFrame, on_bad: str = "raise") -> DataFrame:
         """Scale unseen rows.
@@ -183,16 +196,17 @@ class FittedPreprocessor:
         and returns all rows with a `reasons` column, the scaled features being null where they are not finite;
         `"trust"` is for rows that were cleaned before.
         """
-        if on_bad == "trust":
-            return self.transform(df)
+        if on_bad == "route":
+            ordinal = {p.feature: p.ordinal for p in self.parameters}
+            return self.checked_array(df).selectExpr(
+                *[f"_scaled[{ordinal[c]}] as {q(c)}" if c in ordinal else f"_row.{q(c)} as {q(c)}" for c in df.columns], "reasons")
         if on_bad == "raise":
-            self._raise_on_bad(df)
-            return self.transform(df)
-        if on_bad != "route":
+            self.raise_on_bad(df)
+        elif on_bad != "trust":
             raise ValueError("on_bad must be 'raise', 'route' or 'trust'")
-        return inf_to_null(self.transform(self.check(df)), self.features)
+        return self.transform(df)
 
-    def _raise_on_bad(self, df: DataFrame) -> None:
+    def raise_on_bad(self, df: DataFrame) -> None:
         require_columns(df, self.features)
         sql = {q(p.feature): p.sql() for p in self.parameters}
         bad = per_feature(df, self.features, {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowprofile.functions.columns import q, text
 from flowprofile.functions.quantiles import quantile_table
-from flowprofile.operators.kmeans import distances_sql, nearest_sql
+from flowprofile.operators.kmeans import distances_to, nearest_sql
 from flowprofile.operators.prep import FittedPreprocessor
 
 RESULT = ("cluster", "nearest_distance", "distances")
@@ -20,18 +20,20 @@ def score_flows(
 ) -> DataFrame:
     """The input columns plus cluster, nearest_distance and the distances to all centroids.
 
-    Parameters and centroids are literals of one narrow projection. With `on_bad="route"` no job runs before and unusable rows
+    Parameters and centroids travel inside one narrow step. With `on_bad="route"` no job runs before and unusable rows
     keep a `reasons` array and no cluster; `"trust"` skips the checks for rows that were cleaned before.
     """
-    names = preprocessor.features
-    kept = df.columns
-    scaled = preprocessor.transform_new(df.selectExpr(*[q(f) for f in names], f"struct({', '.join(q(c) for c in kept)}) as _row"), on_bad)
-    extra = ["reasons"] if on_bad == "route" else []
-    measured = distances_sql(names, centers)
-    if extra:
-        # A scaled feature is null exactly where a row cannot be scored.
-        measured = f"case when {' and '.join(f'{q(f)} is not null' for f in names)} then {measured} end"
-    return scaled.selectExpr("_row", *extra, f"explode(array({measured})) as distances").selectExpr(
+    extra, point = [], "_scaled"
+    if on_bad == "route":
+        scaled = preprocessor.checked_array(df)
+        extra, point = ["reasons"], "case when size(reasons) = 0 then _scaled end"
+    elif on_bad in ("raise", "trust"):
+        if on_bad == "raise":
+            preprocessor.raise_on_bad(df)
+        scaled = preprocessor.scaled_array(df)
+    else:
+        raise ValueError("on_bad must be 'raise', 'route' or 'trust'")
+    return scaled.select("_row", *extra, distances_to(point, centers).alias("distances")).selectExpr(
         "_row.*", f"{nearest_sql('distances')} as cluster", "array_min(distances) as nearest_distance", "distances", *extra)
 
 
