@@ -23,6 +23,7 @@ BINS_PER_OCTAVE = 64
 SUB_BINS = 65536
 FEATURES_PER_PASS = 32
 BRACKETS_PER_PASS = 24
+MAX_TARGETS = 100_000
 
 
 def _long(df: DataFrame, names: Sequence[str], by: str | None) -> DataFrame:
@@ -98,7 +99,10 @@ def _quantiles(df: DataFrame, names: list[str], probs: Sequence[float], by: str
         "case when side = 0 then cast(floor(pos) as bigint) else cast(ceil(pos) as bigint) end as r",
     ).where("r < upto and r >= upto - n").selectExpr(
         "grp", "fid", "prob", "side", "frac", "r - (upto - n) as rank", "n", "lo", "hi")
-    state = [r.asDict() for r in ranked.collect()]
+    # Two rows per (group, feature, prob); only a grouping column with very many values can exceed the bound.
+    state = [r.asDict() for r in ranked.limit(MAX_TARGETS + 1).collect()]
+    if len(state) > MAX_TARGETS:
+        raise ValueError(f"{by!r} has too many values for grouped quantiles")
 
     while True:
         for s in state:
