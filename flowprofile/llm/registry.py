@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowprofile.llm import bpe, chat, lengths, token_files, url_filter
+from flowprofile.llm import bpe, chat, lengths, mixing, simhash, token_files, toxicity, url_filter
 from flowprofile.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,29 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(read(spark, folder, "documents", "doc_id", "text")).drop("ids")
 
 
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(read(spark, folder, "documents", "doc_id", "text", "source"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.fingerprint_components(read(spark, folder, "documents", "doc_id", "text"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    documents = read(spark, folder, "documents", "doc_id", "text")
+    labels = read(spark, folder, "labels", "doc_id", "toxic")
+    model = toxicity.fit_toxicity(documents, labels, where=toxicity.learned_from())
+    return toxicity.score_documents(documents, model)
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_token_lengths, op3_token_files, op4_url_filter, op5_chat_format, op6_byte_bpe]
+    found = [
+        op2_token_lengths, op3_token_files, op4_url_filter, op5_chat_format, op6_byte_bpe, op7_mix_sources, op9_simhash, op10_toxicity,
+    ]
     return {f.__name__: f for f in found}
 
 
