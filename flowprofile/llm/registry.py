@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowprofile.llm import bpe, chat, lengths, mixing, simhash, token_files, toxicity, url_filter
+from flowprofile.llm import ann_tree, bpe, chat, lengths, mixing, simhash, token_files, topk_bits, toxicity, url_filter
 from flowprofile.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ann_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest vectors found for every hundredth id."""
+    return ann_tree.nearest_neighbours(read(spark, folder, "embeddings", "vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
 def op2_token_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Histogram of the encoded lengths of all documents with its suffix sums."""
     encoded = bpe.encode_documents(read(spark, folder, "documents", "text"), keep=())
@@ -46,6 +52,11 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_topk_bits(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth id."""
+    return topk_bits.top_inner_products(read(spark, folder, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.fingerprint_components(read(spark, folder, "documents", "doc_id", "text"))
@@ -61,7 +72,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        op2_token_lengths, op3_token_files, op4_url_filter, op5_chat_format, op6_byte_bpe, op7_mix_sources, op9_simhash, op10_toxicity,
+        op1_ann_tree, op2_token_lengths, op3_token_files, op4_url_filter, op5_chat_format, op6_byte_bpe, op7_mix_sources, op8_topk_bits, op9_simhash, op10_toxicity,
     ]
     return {f.__name__: f for f in found}
 
