@@ -21,8 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
-    groups = simhash.near_groups(docs, keep=docs.columns)
-    return groups.where("stays").select("row.*")
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ every pair of fingerprints within the radius meets in at least one shard:
 * `linked_fingerprints` cuts the 64 bits into b blocks. Two fingerprints that differ in at most r bits agree in b - r blocks at least,
   so each choice of b - r blocks is a table whose shards agree in them. b is the smallest number for which a shard holds a few
   fingerprints on average; any b > r gives the same links.
-* `near_groups` (five-word shingles, similarity 0.8) shards by bands of min-hashes, as two texts of similarity 0.8 differ in about 10 of 64 bits,
-  which no choice of blocks covers. A link needs a fingerprint within the tree's radius and a similarity of the min-hash signatures that is high enough.
+* `near_groups` (five-word shingles, Jaccard similarity 0.8) shards by bands of min-hashes, as two texts of similarity 0.8 differ in about 10 of 64 bits,
+  which no choice of blocks covers; min-hash signatures within `MARGIN` of the similarity join texts into families. Each family is then a shard whose
+  trees propose pairs within the radius, and the exact similarity of the two shingle sets decides. A pair of similarity 0.8 misses all
+  bands with a probability of 0.002, and the radius or the margin with less.
 
 The trees grow with the data, so they are not broadcast: a shard's fingerprints are shuffled to one task, which builds the tree and searches it.
 Equal fingerprints are collapsed before. A shard of more than `SHARD_ROWS` fingerprints is never held by one task: its task passes the rows on
@@ -46,6 +48,11 @@ _CHUNK = 1 << 16
 # Near-duplicate stage: five words, similarity 0.8.
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_RADIUS = 5, 0.8, 18
 LANES, BANDS, BAND_LANES = 128, 12, 4
+MARGIN = 0.12
+#: Texts of a family that one tree may hold, as their shingle sets are held with them.
+FAMILY_ROWS = 1024
+#: Tables of ids are broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -165,15 +172,36 @@ _MEMBERS = "t int, key long, node long, fp long, sig binary"
 _LINKS = "a long, b long, block int, t int, key long, fp long, sig binary"
 
 
-def _similar(sigs: Sequence[bytes] | None, similarity: float) -> Callable[[int, int], bool] | None:
-    if sigs is None or not similarity:
+def same_lanes(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of equal lanes of two min-hash signatures."""
+    return float((a == b).mean()) if len(a) else 1.0
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets of shingles."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+#: How the payloads of two members are compared: the values they hold, and their similarity.
+COMPARE = {"lanes": ("<u2", same_lanes), "sets": ("<u8", jaccard)}
+
+
+def _similar(payloads: Sequence[bytes], compare: str | None, similarity: float) -> Callable[[int, int], bool] | None:
+    if compare is None:
         return None
-    lanes = [np.frombuffer(s, dtype="<u2") for s in sigs]
-    return lambda i, j: float((lanes[i] == lanes[j]).mean()) >= similarity
+    kind, measure = COMPARE[compare]
+    values = [np.frombuffer(p, dtype=kind) for p in payloads]
+    return lambda i, j: measure(values[i], values[j]) >= similarity
+
 
+def shard_links(members: DataFrame, radius: int, compare: str | None = None, similarity: float = 0.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) between nodes of a shard (t, key) whose fingerprints `fp` are within the radius: a spanning star of each group.
 
-def shard_links(members: DataFrame, radius: int, similarity: float = 0.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) between nodes of a shard (t, key) whose fingerprints are within the radius: a spanning star of each group."""
+    With `compare`, a link also needs that similarity of the binary payloads `sig`.
+    """
     names = ["a", "b", "block", "t", "key", "fp", "sig"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -188,8 +216,8 @@ def shard_links(members: DataFrame, radius: int, similarity: float = 0.0, shard_
             if block:
                 out.extend((r[0], None, block, *shard, r[1], r[2]) for r in rows)
             elif len(rows) > 1:
-                sigs = [r[2] for r in rows] if similarity else None
-                for r, k in zip(rows, group_roots([r[1] for r in rows], radius, _similar(sigs, similarity)), strict=True):
+                similar = _similar([r[2] for r in rows], compare, similarity)
+                for r, k in zip(rows, group_roots([r[1] for r in rows], radius, similar), strict=True):
                     if r[0] != rows[k][0]:
                         out.append((r[0], rows[k][0], -1, None, None, None, None))
 
@@ -241,8 +269,7 @@ def shard_links(members: DataFrame, radius: int, similarity: float = 0.0, shard_
         group = group.sort_values(["block", "node"])
         nodes = group["node"].tolist()
         trees = int((group["block"] == group["i"]).sum())
-        sigs = group["sig"].tolist() if similarity else None
-        roots = group_roots(group["fp"].tolist(), radius, _similar(sigs, similarity), trees)
+        roots = group_roots(group["fp"].tolist(), radius, _similar(group["sig"].tolist(), compare, similarity), trees)
         links = [(n, nodes[k]) for n, k in zip(nodes, roots, strict=True) if n != nodes[k]]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -303,15 +330,13 @@ def signature(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> n
     return low
 
 
-def near_groups(
-    documents: DataFrame, *, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ("doc_id",), words_per_shingle: int = STAGE_SHINGLE,
-    similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS,
-) -> DataFrame:
-    """A struct `row` with the columns `keep`, then `group` and `stays`; one row per document.
+def _small(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
-    Documents with the same shingles, and those linked by a similarity of `similarity` or more, are one group, named by its smallest
-    (doc_id, row number); that row stays. Null doc_ids come first. Documents without words are copies of each other.
-    """
+
+def _sketched(documents: DataFrame, text: str, key: str, keep: Sequence[str], words_per_shingle: int) -> DataFrame:
+    """row, text, doc_id, uid, fp, sig and bands of every document, written once; that fixes the row numbers uid."""
     factors, offsets = lane_factors()
 
     @F.pandas_udf("fp long, sig binary, bands array<long>")
@@ -326,22 +351,61 @@ def near_groups(
                 rows.append((fingerprint(hashes), (low & np.uint32(0xFFFF)).astype("<u2").tobytes(), keys))
             yield pd.DataFrame(rows, columns=["fp", "sig", "bands"])
 
-    # Row numbers are fixed by being written.
-    marked = materialize(
-        documents.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), sketch(text_or_empty(text)).alias("s"))
-        .select("row", "doc_id", "uid", "s.*"), "sketches",
+    others = [c for c in keep if c != text]
+    return materialize(
+        documents.select(
+            F.struct(*[F.col(c) for c in others], F.lit(0).alias("_")).alias("row"), F.col(text).alias("text"), F.col(key).alias("doc_id"),
+            F.monotonically_increasing_id().alias("uid"), sketch(text_or_empty(text)).alias("s"),
+        ).select("row", "text", "doc_id", "uid", "s.*"), "sketches",
     )
+
+
+def _groups(marked: DataFrame, words_per_shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(uid, group) of every document: the smallest (doc_id, uid) of its near duplicates."""
     light = marked.select("doc_id", "uid", "fp", "sig", "bands")
+    # Texts with one fingerprint and one signature are one class: copies cost one row from here on.
     classes = materialize(
         light.groupBy("fp", "sig").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.first("bands").alias("bands")).withColumn("node", F.col("first.uid")), "classes"
     )
     keyed = classes.select("node", F.posexplode("bands").alias("t", "key"))
     shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
     members = keyed.join(shared, ["t", "key"], "left_semi").join(classes.select("node", "fp", "sig"), "node").select("t", "key", "node", "fp", "sig")
-    linked = components(shard_links(members, radius, similarity))
+    families = materialize(components(shard_links(members, radius, "lanes", similarity - MARGIN)).select("node", F.col("label").alias("key")), "families")
+
+    @F.pandas_udf("binary")
+    def shingle_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words_per_shingle).astype("<u8")).tobytes() for t in texts], dtype=object)
+
+    texts = marked.join(_small(families.withColumnRenamed("node", "uid")), "uid").select(
+        F.lit(0).alias("t"), "key", F.col("uid").alias("node"), "fp", shingle_set(text_or_empty("text")).alias("sig")
+    )
+    linked = components(shard_links(texts, radius, "sets", similarity, FAMILY_ROWS))
     reached = linked.join(classes.select("node", "first"), "node")
     lowest = reached.groupBy("label").agg(F.min("first").alias("group"))
     moved = reached.join(lowest, "label").select("node", "group")
     grouped = classes.join(moved, "node", "left").select("fp", "sig", F.coalesce("group", "first").alias("group"))
-    first = light.join(grouped, ["fp", "sig"]).select("uid", "group")
-    return marked.select("row", "uid").join(first, "uid").select("row", F.col("group.doc_id").alias("group"), (F.col("uid") == F.col("group.uid")).alias("stays"))
+    return light.select("uid", "fp", "sig").join(grouped, ["fp", "sig"]).select("uid", "group")
+
+
+def near_groups(
+    documents: DataFrame, *, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ("doc_id",), words_per_shingle: int = STAGE_SHINGLE,
+    similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS,
+) -> DataFrame:
+    """A struct `row` with the columns `keep` (but the text), then `group` and `stays`; one row per document.
+
+    Documents with the same shingles, and those linked by a similarity of `similarity` or more, are one group, named by its smallest
+    (doc_id, row number); that row stays. Null doc_ids come first. Documents without words are copies of each other.
+    """
+    marked = _sketched(documents, text, key, keep, words_per_shingle)
+    groups = _groups(marked, words_per_shingle, similarity, radius)
+    return marked.select("row", "uid").join(groups, "uid").select("row", F.col("group.doc_id").alias("group"), (F.col("uid") == F.col("group.uid")).alias("stays"))
+
+
+def drop_near_duplicates(
+    documents: DataFrame, *, text: str = "text", key: str = "doc_id", words_per_shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS
+) -> DataFrame:
+    """The documents that stay, with their columns; groups as in `near_groups`."""
+    marked = _sketched(documents, text, key, documents.columns, words_per_shingle)
+    gone = materialize(_groups(marked, words_per_shingle, similarity, radius).where("uid != group.uid").select("uid"), "dropped")
+    kept = marked.select("row", "text", "uid").join(_small(gone), "uid", "left_anti")
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns])
