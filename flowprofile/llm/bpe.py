@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowprofile.llm.common import text_or_empty
@@ -157,6 +159,45 @@ def encode_documents(
     return rows.select("_row.*", F.col("_ids").alias("ids"), F.expr("bigint(length(_ids) div 4)").alias("n_tokens"))
 
 
+# ---------------------------------------------------------------- Spark expressions only
+
+#: Buckets of the literal rank map; a bucket is searched in order.
+BUCKETS = 8192
+
+
+def rank_literal(vocabulary: tuple[str, str] | None = None) -> Column:
+    """The ranks as one literal: an array of maps from pieces (hexadecimal) to ranks, by the pieces' crc32."""
+    tool = codec(*(vocabulary or default_vocabulary()))
+    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in tool.ranks.items():
+        name = piece.hex().upper()
+        maps[zlib.crc32(name.encode()) % BUCKETS][name] = rank
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+
+
+def encode_words(words: DataFrame, *, word: str = "word", vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """(word, ids array<int>) of distinct words by higher-order functions: a fold over the byte pieces that merges the pair of lowest rank.
+
+    Each step of the fold looks up all adjacent pairs in the literal rank map. Words are the pieces the pattern splits off; an empty word has no ids.
+    """
+    table = rank_literal(vocabulary)
+    rank = lambda piece: F.get(table, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int"))[piece]
+    octets = F.filter(F.regexp_extract_all(F.hex(F.encode(F.col(word), "UTF-8")), F.lit("(..)"), F.lit(1)), lambda o: o != "")
+
+    def step(pieces: Column, _: Column) -> Column:
+        ranks = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: rank(F.concat(p, F.get(pieces, i + 1))))
+        # The lowest rank, and of equal ones the leftmost; bound once, as a one-element array.
+        best = F.array_min(F.transform(ranks, lambda r, i: F.when(r.isNotNull(), F.struct(r.alias("r"), i.alias("i")))))["i"]
+        merge = lambda at: F.when(at.isNull(), pieces).otherwise(F.concat(
+            F.slice(pieces, 1, at), F.array(F.concat(F.get(pieces, at), F.get(pieces, at + 1))), F.slice(pieces, at + 3, F.size(pieces))
+        ))
+        return F.get(F.transform(F.array(best), merge), 0)
+
+    folded = F.when(F.size("_o") > 1, F.aggregate(F.sequence(F.lit(2), F.size("_o")), F.col("_o"), step)).otherwise(F.col("_o"))
+    pieces = words.select(F.col(word).alias("word"), octets.alias("_o")).select("word", folded.alias("_p"))
+    return pieces.select("word", F.transform("_p", rank).alias("ids"))
+
+
 def round_trip(documents: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",), vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Encode, decode the ids again, and give the digests of both: `keep`, n_tokens, ids_sha256, decoded_sha256, and the ids.
 
