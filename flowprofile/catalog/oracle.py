@@ -75,11 +75,10 @@ CTES += [
     ("dist", "SELECT cluster, count(*) AS n, count(*) * 1e0 / sum(count(*)) OVER () AS share, "
              f"{pct('count(*)', 'sum(count(*)) OVER ()')} AS percentage FROM clean GROUP BY cluster"),
     ("summ", each(lambda i, f: f"SELECT cluster, {i} AS ordinal, {name(i)} AS feature, avg({f}) AS mean FROM clean GROUP BY cluster")),
-    ("zs", "SELECT cluster, ordinal, feature, mean, avg(mean) OVER w AS overall, (mean - avg(mean) OVER w) / "
-           "CASE WHEN stddev_samp(mean) OVER w = 0 THEN 1 ELSE stddev_samp(mean) OVER w END AS z FROM summ WINDOW w AS (PARTITION BY feature)"),
+    ("zs", "SELECT cluster, ordinal, feature, mean, avg(mean) OVER w AS overall, CASE WHEN stddev_samp(mean) OVER w <= 1e-12 * max(abs(mean)) OVER w THEN 0e0 "
+           "ELSE (mean - avg(mean) OVER w) / stddev_samp(mean) OVER w END AS z FROM summ WINDOW w AS (PARTITION BY feature)"),
     ("dom", "SELECT * FROM (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY round(abs(z), 9) DESC, ordinal) AS rank, feature, z FROM zs) x WHERE rank <= 5"),
-    ("dev", "SELECT cluster, count(*) AS n_deviating, string_agg(feature, ', ' ORDER BY ordinal) FILTER (WHERE place <= 5) AS names FROM "
-            "(SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ordinal) AS place FROM zs WHERE abs(z) > 2) x GROUP BY cluster"),
+    ("dev", "SELECT cluster, count(*) AS n_deviating, string_agg(feature, ', ' ORDER BY ordinal) AS names FROM zs WHERE abs(z) > 2 GROUP BY cluster"),
     ("flags", "SELECT dist.cluster, CASE WHEN n_deviating IS NOT NULL AND share < 0.05 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, share, "
               "coalesce(n_deviating, 0) AS n_deviating, coalesce(names, '') AS names, "
               "CASE WHEN n_deviating IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN share < 0.05 THEN 1 ELSE 0 END AS n_reasons "
@@ -192,7 +191,7 @@ def _boxes() -> str:
         whisker_lo=f"least(min(CASE WHEN {F[i]} >= lo AND {F[i]} <= hi THEN {F[i]} END), any_value(q1))",
         whisker_hi=f"greatest(max(CASE WHEN {F[i]} >= lo AND {F[i]} <= hi THEN {F[i]} END), any_value(q3))")
         + f", CAST(count_if({F[i]} < lo OR {F[i]} > hi) AS BIGINT) AS outlier_count FROM raw, (SELECT *, {_FENCES} FROM {_quartiles(i, F[i], 'raw')}) y"
-        for i in range(8))
+        for i in D)
 
 
 def _histogram(table: str, features: Sequence[int], bins: int, stage: str = "") -> str:
@@ -326,7 +325,7 @@ def oracle_sql() -> dict[str, str]:
     out["value_counts"] = (
         f"SELECT label AS value, {_count('c', 'count')}, {r(pct('c', '(SELECT count(*) FROM raw)'))} AS percentage FROM (SELECT label, count(*) AS c FROM raw WHERE label IS NOT NULL GROUP BY label) t")
     out["histogram"] = _histogram("raw", D, 50)
-    out["histogram_before_after"] = _histogram("lg", range(4), 40, "'before' AS stage, ") + " UNION ALL " + _histogram("scaled", range(4), 40, "'after' AS stage, ")
+    out["histogram_before_after"] = _histogram("lg", D, 40, "'before' AS stage, ") + " UNION ALL " + _histogram("scaled", D, 40, "'after' AS stage, ")
     out["box_stats"] = _boxes()
     out["feature_ranges"] = _moments("clean", {"median": "quantile_cont({f}, 0.5)", "min": "min({f})", "max": "max({f})"})
 

@@ -6,7 +6,6 @@ then costs one re-read of its splits, never a re-run of the shuffles before.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +14,9 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by `spark.checkpoint.dir`; a temporary one is set only in local mode."""
+    """Folder named by `spark.checkpoint.dir`, or else one below the session's warehouse; the same in every mode."""
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_KEY} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="flowprofile-")
-    spark.conf.set(_KEY, folder)
-    return folder
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_flowprofile"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -32,7 +25,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the table to the shared folder and return a fresh scan of it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return materialize_at(df, new_path(df.sparkSession, name))
+
+
+def materialize_at(df: DataFrame, path: str) -> DataFrame:
+    """Write the table to the path and return a fresh scan of it."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, and its folder if `new_path` made it for that table alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(where, True)
+    parent = where.getParent()
+    if parent.getName().startswith("flowprofile-") and store.exists(parent) and not store.listStatus(parent):
+        store.delete(parent, False)

@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowprofile.functions.aggregates import per_feature
+from flowprofile.functions.aggregates import per_feature, union_all
+from flowprofile.functions.columns import q
 
-MAX_COLUMNS = 2_000
+# Columns of one matrix; pairs of more columns are summed in blocks of them.
+BLOCK_COLUMNS = 512
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
@@ -31,8 +33,8 @@ def pair_sums(df: DataFrame, names: Sequence[str]) -> DataFrame:
     A column holding infinite values has no finite sums; its pairs are returned as NaN.
     """
     d = len(names)
-    if d > MAX_COLUMNS:
-        raise ValueError(f"{d} columns make too many pairs (limit {MAX_COLUMNS})")
+    if d > BLOCK_COLUMNS:
+        return _in_blocks(df, list(names))
     means = {r["feature"]: r["mean"] for r in per_feature(df, names, {"mean": lambda c: f"avg({c})"}).collect()}
     center = np.array([means[n] if means[n] is not None else 0.0 for n in names])
     usable = np.isfinite(center)
@@ -56,3 +58,20 @@ def pair_sums(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
     schema = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
     return df.mapInArrow(fold, schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+
+
+def _in_blocks(df: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs of two half blocks at a time; each pass reads its own columns."""
+    half = max(1, BLOCK_COLUMNS // 2)
+    starts = list(range(0, len(names), half))
+    parts = []
+    for a in starts:
+        for b in starts[starts.index(a):]:
+            of_a, of_b = list(range(a, min(a + half, len(names)))), list(range(b, min(b + half, len(names)))) if b > a else []
+            places = [*of_a, *of_b]
+            place = "element_at(array(" + ", ".join(map(str, places)) + "), {0} + 1)"
+            sums = pair_sums(df.select(*[q(names[i]) for i in places]), [names[i] for i in places])
+            # Pairs within a block come from the pass of the block alone.
+            wanted = sums.where(f"i < {len(of_a)} and j >= {len(of_a)}") if of_b else sums
+            parts.append(wanted.selectExpr(f"{place.format('i')} as i", f"{place.format('j')} as j", *_SUMS))
+    return union_all(parts)

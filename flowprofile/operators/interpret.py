@@ -15,13 +15,12 @@ from flowprofile.functions.aggregates import per_feature
 from flowprofile.functions.columns import numeric_columns, percent_sql, q, text
 from flowprofile.functions.quantiles import quantile_table
 
-MAX_LABELS = 1_000
 NAMED_DEVIATIONS = 5
 
 
 def cluster_distribution(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """(cluster, count, percentage) by cluster."""
-    counts = df.groupBy(F.expr(q(cluster)).alias("cluster")).agg(F.count("*").alias("count"))
+    """(cluster, count, percentage) by cluster; rows without a cluster are left out."""
+    counts = df.where(f"{q(cluster)} is not null").groupBy(F.expr(q(cluster)).alias("cluster")).agg(F.count("*").alias("count"))
     return counts.selectExpr("cluster", "count", f"{percent_sql('count', 'sum(count) over ()')} as percentage").orderBy("cluster")
 
 
@@ -33,7 +32,8 @@ def cluster_summary(df: DataFrame, features: Sequence[str] | None = None, cluste
 
 
 def _with_cluster(df: DataFrame, names: Sequence[str], cluster: str) -> DataFrame:
-    return df.selectExpr(*[f"nullif(cast({q(n)} as double), double('NaN')) as {q(n)}" for n in names], f"{q(cluster)} as cluster")
+    rows = df.where(f"{q(cluster)} is not null")
+    return rows.selectExpr(*[f"nullif(cast({q(n)} as double), double('NaN')) as {q(n)}" for n in names], f"{q(cluster)} as cluster")
 
 
 def _ordinal(names: Sequence[str]) -> str:
@@ -52,12 +52,20 @@ def cluster_profiles(df: DataFrame, features: Sequence[str] | None = None, clust
     ).select("cluster", "stat", "feature", "value").orderBy("cluster", "stat", "feature")
 
 
+# Fixed value: a spread of the means below this share of the largest one is rounding noise.
+NOISE = 1e-12
+
+
 def profile_zscores(summary: DataFrame) -> DataFrame:
-    """(cluster, ordinal, feature, z) of each cluster mean among the cluster means (unweighted; sample deviation, 0 → 1)."""
+    """(cluster, ordinal, feature, z) of each cluster mean among the cluster means (unweighted; sample deviation).
+
+    A feature whose means differ by rounding noise only has z = 0 everywhere.
+    """
     # Rows per feature = number of clusters.
-    spread = "stddev_samp(mean) over (partition by feature)"
-    return summary.selectExpr("*", "avg(mean) over (partition by feature) as overall", f"{spread} as sd").selectExpr(
-        "cluster", "ordinal", "feature", "(mean - overall) / case when sd = 0D then 1D else sd end as z")
+    over = "over (partition by feature)"
+    return summary.selectExpr(
+        "*", f"avg(mean) {over} as overall", f"stddev_samp(mean) {over} as sd", f"max(abs(mean)) {over} as largest"
+    ).selectExpr("cluster", "ordinal", "feature", f"case when sd <= {NOISE}D * largest then mean * 0D else (mean - overall) / sd end as z")
 
 
 def dominant_features(summary: DataFrame, n: int = TOP_FEATURES) -> DataFrame:
@@ -102,7 +110,7 @@ def cluster_narrative(summary: DataFrame, distribution: DataFrame) -> DataFrame:
     measures = ratios.groupBy("cluster").agg(
         F.expr(of(DURATION)).alias("duration"), F.expr(mean_of(VOLUME)).alias("volume"), F.expr(mean_of(RATE)).alias("rate"),
         *[F.expr(f"{of(n, 'mean')} > {of(n, 'overall')} * 1.5D").alias(a) for n, a in ((FIN, "fin"), (PSH, "psh"))])
-    tags = measures.join(F.broadcast(distribution.select("cluster", "count")), "cluster", "left").selectExpr(
+    tags = measures.join(distribution.select("cluster", "count"), "cluster", "left").selectExpr(
         "cluster", "coalesce(count, 0L) as count",
         """array_compact(array(
             case when duration is null then null when duration < 0.3D then 'duration_very_short' when duration < 0.7D then 'duration_short_medium'
@@ -124,18 +132,18 @@ def anomaly_flags(
 ) -> DataFrame:
     """(cluster, severity, share, n_deviating, deviating_features, reasons); unflagged clusters are absent.
 
-    Deviating: some feature's absolute z-score above the threshold (the first five are named, in feature order). Small: the
-    cluster's share of all rows below the size threshold. Both make it HIGH, one MEDIUM.
+    Deviating: some feature's absolute z-score above the threshold (all are listed, in feature order; the reason's text names the first five).
+    Small: the cluster's share of all rows below the size threshold. Both make it HIGH, one MEDIUM.
     """
     high = profile_zscores(summary).where(f"abs(z) > {float(deviation_threshold)}D").groupBy("cluster").agg(
         F.count("*").alias("n_deviating"),
-        F.expr(f"slice(transform(array_sort(collect_list(struct(ordinal, feature))), e -> e.feature), 1, {NAMED_DEVIATIONS})").alias("names"))
+        F.expr("transform(array_sort(collect_list(struct(ordinal, feature))), e -> e.feature)").alias("names"))
     sizes = distribution.selectExpr("cluster", "count / sum(count) over () as share")
-    clusters = summary.select("cluster").distinct().join(F.broadcast(sizes), "cluster", "left").join(F.broadcast(high), "cluster", "left")
+    clusters = summary.select("cluster").distinct().join(sizes, "cluster", "left").join(high, "cluster", "left")
     small = f"coalesce(share, 0D) < {float(size_threshold)}D"
     reasons = (
         "array_compact(array("
-        "case when n_deviating is not null then concat('high deviation in: ', array_join(names, ', ')) end, "
+        f"case when n_deviating is not null then concat('high deviation in: ', array_join(slice(names, 1, {NAMED_DEVIATIONS}), ', ')) end, "
         f"case when {small} then concat('very small cluster (', bround(coalesce(share, 0D) * 100, 1), '% of all flows)') end))"
     )
     return clusters.selectExpr("*", f"{reasons} as reasons").where("size(reasons) > 0").selectExpr(
@@ -153,9 +161,8 @@ def label_crosstab(df: DataFrame, label: str, cluster: str = "cluster", labels:
     """One row per cluster, one count column per label in label order, zeros filled."""
     counts = label_by_cluster(df, label, cluster)
     if labels is None:
-        labels = [r["label"] for r in counts.select("label").distinct().orderBy("label").take(MAX_LABELS + 1)]
-        if len(labels) > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels: name the ones to tabulate")
+        # One column each, so a table of very many labels is better read in the long form.
+        labels = [r["label"] for r in counts.select("label").distinct().orderBy("label").collect()]
     return counts.groupBy("cluster").agg(*[
         F.expr(f"coalesce(sum(case when label = {text(str(v))} then count end), 0L)").alias(str(v)) for v in labels
     ]).orderBy("cluster")

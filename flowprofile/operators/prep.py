@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowprofile.config import DEFAULT_FEATURES, MISSING_STRATEGIES, SCALERS, SKEW_THRESHOLD, PipelineConfig
 from flowprofile.functions.aggregates import per_feature
 from flowprofile.functions.columns import as_doubles, finite_or_null, number, numeric_columns, q, require_columns, skewness_sql, text
 from flowprofile.functions.quantiles import exact_quantiles, interpolate
-from flowprofile.functions.storage import materialize
+from flowprofile.functions.storage import materialize_at, new_path, remove
 
 # Fixed value: a spread below this counts as no spread.
 MIN_SPREAD = 10 * 2.220446049250313e-16
@@ -59,20 +60,41 @@ def fill_missing(df: DataFrame, features: Sequence[str], how: str) -> DataFrame:
 def deduplicate(df: DataFrame, features: Sequence[str] | None = None, label: str | None = None) -> DataFrame:
     """One row per distinct (features, label); the same features under two labels stay twice.
 
-    Copies are combined before the shuffle, so a row repeated any number of times leaves each task once.
+    Copies are combined before the shuffle, so a row repeated any number of times leaves each task once. Of the other columns the copies'
+    smallest values are kept (as one row: they are compared in table order).
     """
     if features is None:
         return df.dropDuplicates()
-    return df.dropDuplicates([*features, *([label] if label and label in df.columns else [])])
+    keys = [*features, *([label] if label and label in df.columns else [])]
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.dropDuplicates()
+    grouped = df.groupBy(*[q(c) for c in keys])
+    # A single kept column needs no struct, whose smallest one is found by sorting.
+    kept = grouped.agg(F.min(q(others[0])).alias("_kept")) if len(others) == 1 else grouped.agg(F.min(F.struct(*[q(c) for c in others])).alias("_kept"))
+    value = (lambda c: "_kept") if len(others) == 1 else (lambda c: f"_kept.{q(c)}")
+    return kept.selectExpr(*[f"{value(c)} as {q(c)}" if c in others else q(c) for c in df.columns])
 
 
 def clean(df: DataFrame, features: Sequence[str], label: str | None = None, missing: str = "drop") -> DataFrame:
-    """±inf → missing, then drop or fill missing values, then drop duplicates."""
+    """±inf → missing, then drop or fill missing values, then drop duplicates.
+
+    The features travel as one array: short expressions over it stay within what the JVM compiles, whatever the number of features.
+    """
     if missing not in MISSING_STRATEGIES:
         raise ValueError(f"missing must be one of {MISSING_STRATEGIES}, not {missing!r}")
-    finite = inf_to_null(df, features)
-    complete = drop_missing(finite, features, label) if missing == "drop" else fill_missing(finite, features, missing)
-    return deduplicate(complete, features, label)
+    names = list(features)
+    others = [c for c in df.columns if c not in names]
+    if missing == "drop":
+        values = "array(" + ", ".join(f"cast({q(n)} as double)" for n in names) + ")"
+        rows = df.selectExpr(f"{values} as _x", *[q(c) for c in others]).where("forall(_x, v -> v is not null and abs(v) < double('Infinity'))")
+        if label and label in others:
+            rows = rows.where(f"{q(label)} is not null")
+    else:
+        filled = fill_missing(inf_to_null(df, names), names, missing)
+        rows = filled.selectExpr("array(" + ", ".join(q(n) for n in names) + ") as _x", *[q(c) for c in others])
+    distinct = deduplicate(rows, ["_x"], label)
+    return distinct.selectExpr(*[f"_x[{names.index(c)}] as {q(c)}" if c in names else q(c) for c in df.columns])
 
 
 def clean_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -278,12 +300,25 @@ def fit(
 
 @dataclass(frozen=True)
 class Prepared:
-    """Selected, cleaned and scaled tables (label and other columns stay in the row) and the fitted parameters."""
+    """Selected, cleaned and scaled tables (label and other columns stay in the row) and the fitted parameters.
+
+    As a context manager, or by `close`, it removes the cleaned table it has written; the tables cannot be read after that.
+    """
 
     selected: DataFrame
     cleaned: DataFrame
     scaled: DataFrame
     preprocessor: FittedPreprocessor
+    path: str
+
+    def close(self) -> None:
+        remove(self.cleaned.sparkSession, self.path)
+
+    def __enter__(self) -> Prepared:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
 
 def preprocess(df: DataFrame, config: PipelineConfig = PipelineConfig(), keep: Sequence[str] = ()) -> Prepared:
@@ -296,6 +331,7 @@ def preprocess(df: DataFrame, config: PipelineConfig = PipelineConfig(), keep: S
     require_columns(df, features)
     wanted = [*features, *([label] if label and label in df.columns else []), *keep]
     selected = df.select(*[q(c) for c in wanted])
-    cleaned = materialize(clean(selected, features, label, config.missing), "cleaned")
+    path = new_path(df.sparkSession, "cleaned")
+    cleaned = materialize_at(clean(selected, features, label, config.missing), path)
     preprocessor = fit(cleaned, features, config.apply_log, config.skew_threshold, config.scaler)
-    return Prepared(selected, cleaned, preprocessor.transform(cleaned), preprocessor)
+    return Prepared(selected, cleaned, preprocessor.transform(cleaned), preprocessor, path)

@@ -149,7 +149,7 @@ def outlier_info(df: DataFrame, features: Sequence[str] | None = None) -> DataFr
 
 def box_stats(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Box-plot figures: quartiles, whiskers at the outermost values inside the fences, outlier count."""
-    names = _features(df, features)[:8]
+    names = _features(df, features)
     table, fences = _fences(df, names)
     by_column = {q(n): fences[n] for n in names}
     ends = per_feature(as_doubles(df, names), names, {
@@ -196,6 +196,14 @@ def _correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
         f"case when n >= 2 and not {noise} then greatest(-1D, least(1D, nullif(try_divide({covariance}, {spread}), double('NaN')))) end as correlation")
 
 
+def _compared_as(kind: T.DataType) -> str:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return "double"
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    return kind.simpleString() if isinstance(kind, T.DecimalType) else "string"
+
+
 def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     """One row per column: type, present, missing and distinct counts; for numbers also the usual statistics.
 
@@ -221,6 +229,7 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
 
     if exact_distinct:
         # Pre-combined by value, so a value shared by a third of all rows travels once per task.
+        # Each type is compared as itself: large integers and decimals would meet as doubles.
         def distinct(names: Sequence[str], as_type: str) -> DataFrame:
             pairs = "array(" + ", ".join(f"cast({q(n)} as {as_type})" for n in names) + ")"
             return (
@@ -228,7 +237,10 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
                 .groupBy("fid").agg(F.count("*").alias("n_unique"))
                 .selectExpr(f"element_at(array({', '.join(text(n) for n in names)}), fid + 1) as feature", "n_unique")
             )
-        uniques = union_all([distinct(n, t) for n, t in ((numeric, "double"), (others, "string")) if n])
+        by_type: dict[str, list[str]] = {}
+        for field in df.schema.fields:
+            by_type.setdefault(_compared_as(field.dataType), []).append(field.name)
+        uniques = union_all([distinct(n, t) for t, n in by_type.items()])
     else:
         uniques = per_feature(clean, df.columns, {"n_unique": lambda c: f"approx_count_distinct({c})"})
     return profile.join(F.broadcast(uniques), "feature", "left").selectExpr(
@@ -274,9 +286,8 @@ def histogram(df: DataFrame, features: Sequence[str] | None = None, bins: int =
         "feature", "bin", "bin_lo", "bin_hi", "coalesce(count, 0L) as count")
 
 
-def histogram_before_after(before: DataFrame, after: DataFrame, features: Sequence[str], n_features: int = 4, bins: int = 40) -> DataFrame:
-    """Histograms of the first n features in two tables, told apart by `stage`."""
-    shown = list(features)[:n_features]
+def histogram_before_after(before: DataFrame, after: DataFrame, features: Sequence[str], bins: int = 40) -> DataFrame:
+    """Histograms of the features in two tables, told apart by `stage`."""
     return union_all([
-        histogram(df, shown, bins).withColumn("stage", F.lit(stage)) for stage, df in (("before", before), ("after", after))
+        histogram(df, features, bins).withColumn("stage", F.lit(stage)) for stage, df in (("before", before), ("after", after))
     ]).select("stage", "feature", "bin", "bin_lo", "bin_hi", "count")
