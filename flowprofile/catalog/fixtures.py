@@ -38,7 +38,8 @@ LABEL_SQL = (
     "CASE WHEN l_orderkey % 40 = 0 THEN 'DoS' WHEN l_suppkey % 4 = 2 AND l_orderkey % 7 = 0 THEN 'Brute Force'"
     " WHEN l_orderkey % 211 = 0 THEN NULL ELSE 'BENIGN' END"
 )
-ID_SQL = "((l_orderkey * 8 + ln) * 1048576 + l_partkey) * 16384 + l_suppkey"
+# Unique per base row at every scale; exact copies share it.
+ID_SQL = "concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(ln AS VARCHAR(20)), CAST(l_partkey AS VARCHAR(20)), CAST(l_suppkey AS VARCHAR(20)))"
 BASE_COLUMNS = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber AS ln", "l_quantity AS q", "l_extendedprice AS p", "l_discount AS d",
     "l_tax AS t", "l_returnflag AS rf", "CASE WHEN l_orderkey % 40 = 0 THEN 1e2 ELSE 1e0 END AS h",
@@ -48,7 +49,10 @@ COPIES_SQL = "l_orderkey % 50 = 0"
 CLUSTER_SQL = (
     "CASE WHEN {label} = 'DoS' THEN 6 WHEN {fin} = 1 THEN CAST(4 + {ack} AS INT) ELSE CAST({psh} + 2 * {ack} AS INT) END"
 )
-RANK_SQL = "(flow_id % 2147483647) * 48271 % 2147483647"
+_part = "CAST(split_part(flow_id, '-', {}) AS BIGINT)".format
+RANK_SQL = (
+    f"(({_part(1)} * 8 + {_part(2)}) % 2147483647 * 48271 + {_part(3)} % 2147483647 * 16807 + {_part(4)} % 2147483647 * 69621) % 2147483647"
+)
 
 
 def flows_from(lineitem: DataFrame, with_id: bool = False) -> DataFrame:
@@ -74,7 +78,7 @@ def embedding_columns(spark: SparkSession, sf_dir: str, dimensions: int = 64) ->
 
 
 def rounding(c: str) -> str:
-    """Comparable value: at least 9 significant digits, the same text in every engine.
+    """Comparable value, the same text in every engine: 6 decimals below 1e4, 3 below 1e8, none above (9 or more significant digits from 1e3 on).
 
     The small offsets move short decimals off the rounding ties, which engines break differently; -0.0 becomes 0.0.
     """

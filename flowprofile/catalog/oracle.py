@@ -276,13 +276,12 @@ def _count(sql: str, alias: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    allrows = named("raw")
-    out["load_flows"] = allrows
+    out["load_flows"] = named("raw", integers=True)
     out["separate_labels"] = out["select_features"] = named("raw", label=False, integers=True)
     out["sample_allocation"] = f"SELECT label, {_count('total', 'total')}, {rounded(exact='exact')}, {_count('base', 'base')}, {_count('allocated', 'allocated')} FROM alloc"
     sample = _sampled("flow_id, " + ", ".join(F) + ", label")
     out["stratified_sample"] = named(f"({sample}) t", ["flow_id"], integers=True)
-    out["write_sample"] = named(f"({sample}) t", ["flow_id"])
+    out["write_sample"] = named(f"({sample}) t", ["flow_id"], integers=True)
     out["sample_distribution"] = (
         f"SELECT 'full' AS part, label, {_count('total', 'count')}, {r(pct('total', 'sum(total) OVER ()'))} AS percent FROM alloc UNION ALL "
         f"SELECT 'sample', label, CAST(c AS BIGINT), {r(pct('c', 'sum(c) OVER ()'))} FROM (SELECT label, count(*) AS c FROM ({sample}) t GROUP BY label) u")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from flowprofile.config import DEFAULT_FEATURES, LABEL_COLUMN
+from flowprofile.functions.aggregates import per_feature
 from flowprofile.functions.columns import q, require_columns
 
 
@@ -26,9 +27,9 @@ def load_flows(
 ) -> DataFrame:
     """Every column of a CSV (with header) or Parquet table; the required columns must exist.
 
-    CSV columns other than `text_columns` are numbers: they are read as text and cast with `try_cast`,
-    because type inference needs an extra pass over the file and turns a column holding `inf` into text, and an
-    explicit DOUBLE schema reads `inf` as null.
+    A CSV is read as text, and one aggregate over it decides each column's type: BIGINT when every value is an integer that fits, else DOUBLE
+    (which knows `inf` and `NaN`) when every value is a number, else the text as it is written. A required column must hold numbers: other
+    text in it is an error that names the column. `text_columns` stay text whatever they hold. Blank fields are missing values.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(f"no flow table at {path}")
@@ -39,11 +40,37 @@ def load_flows(
         return df
     raw = spark.read.option("header", True).csv(path)
     validate_schema(raw, required)
+    kinds = _column_kinds(raw, [n for n in raw.columns if n not in text_columns])
+    unreadable = [n for n in required if kinds.get(n) == "string"]
+    if unreadable:
+        raise ValueError(f"text that is not a number in: {unreadable}")
     return raw.selectExpr(*[
-        q(n) if n in text_columns else f"try_cast(trim({q(n)}) as double) as {q(n)}" for n in raw.columns
+        f"try_cast(trim({q(n)}) as {kinds[n]}) as {q(n)}" if kinds.get(n, "string") != "string" else q(n) for n in raw.columns
     ])
 
 
+def _column_kinds(raw: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """Type of each text column: bigint, double or string; double where there is no value at all."""
+    if not names:
+        return {}
+    counted = per_feature(raw, names, {
+        "present": lambda c: f"count_if(length(trim({c})) > 0)",
+        "numbers": lambda c: f"count_if(try_cast(trim({c}) as double) is not null)",
+        "integers": lambda c: f"count_if(trim({c}) rlike '^[+-]?[0-9]+$' and try_cast(trim({c}) as bigint) is not null)",
+        "digits": lambda c: f"count_if(trim({c}) rlike '^[+-]?[0-9]+$')",
+    }).collect()
+
+    def kind(r) -> str:
+        if r["present"] and r["integers"] == r["present"]:
+            return "bigint"
+        # Integers that do not fit keep their digits only as text.
+        if r["numbers"] < r["present"] or (r["present"] and r["digits"] == r["present"]):
+            return "string"
+        return "double"
+
+    return {r["feature"]: kind(r) for r in counted}
+
+
 def validate_schema(df: DataFrame, required: Sequence[str] = DEFAULT_FEATURES) -> DataFrame:
     """The same table, or an error listing every absent required column."""
     require_columns(df, required)
