@@ -38,7 +38,7 @@ def test_allocation_ties_and_limits(spark):
 
 
 def test_samples_are_exact_and_partition_independent(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "MAX_BORDER_ROWS", 50)
+    monkeypatch.setattr(sampling, "BORDER_ROWS", 50)
     monkeypatch.setattr(sampling, "BINS", 8)
     df = spark.range(20_000).selectExpr("id", "case when id % 3 > 0 then 'hot' else concat('s', id % 5) end as s")
     one = sampling.stratified_sample(df, 1_000, "s", key=["id"])
@@ -52,7 +52,7 @@ def test_samples_are_exact_and_partition_independent(spark, monkeypatch):
 
 
 def test_samples_of_copies(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "MAX_BORDER_ROWS", 50)
+    monkeypatch.setattr(sampling, "BORDER_ROWS", 50)
     df = spark.range(3_000).selectExpr("case when id < 1000 then 0 else id end as v", "'s' as s")
     sample = sampling.stratified_sample(df, 900, "s")
     copies = sample.where("v = 0").count()
