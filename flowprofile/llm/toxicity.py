@@ -140,45 +140,63 @@ class Scorer:
 
 @dataclass(frozen=True)
 class Sparse:
-    """Rows of (column, value)."""
+    """Rows of (column, occurrence value, density value), as flat arrays: 12 bytes an entry."""
 
     columns: np.ndarray
-    values: np.ndarray
+    occurs: np.ndarray
+    dense: np.ndarray
     owner: np.ndarray
     rows: int
 
     @staticmethod
-    def of(rows: Sequence[Sequence[tuple[int, float]]]) -> Sparse:
-        return Sparse(
-            np.array([c for r in rows for c, _ in r], dtype=np.int64), np.array([v for r in rows for _, v in r], dtype=float),
-            np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows),
-        )
-
-    def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, self.values * w[self.columns], minlength=self.rows)
-
-    def transposed_times(self, x: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.columns, self.values * x[self.owner], minlength=width)
+    def of(columns: Sequence[np.ndarray], occurs: Sequence[np.ndarray], dense: Sequence[np.ndarray]) -> Sparse:
+        joined = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False)
+        lengths = np.array([len(c) for c in columns], dtype=np.int64)
+        return Sparse(joined(columns, np.int32), joined(occurs, np.int8), joined(dense, np.float32), np.repeat(np.arange(len(columns), dtype=np.int32), lengths), len(columns))
+
+    def times(self, occurs: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Per row, the sum of its entries times the weights of their columns."""
+        out = np.zeros(self.rows)
+        for part in self._parts():
+            c = self.columns[part]
+            out += np.bincount(self.owner[part], self.occurs[part] * occurs[c] + self.dense[part] * dense[c], minlength=self.rows)
+        return out
+
+    def transposed_times(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per column, the sums over the rows of x times the occurrence and the density values."""
+        out = np.zeros((2, width))
+        for part in self._parts():
+            c, y = self.columns[part], x[self.owner[part]]
+            out[0] += np.bincount(c, self.occurs[part] * y, minlength=width)
+            out[1] += np.bincount(c, self.dense[part] * y, minlength=width)
+        return out[0], out[1]
+
+    def _parts(self) -> Iterator[slice]:
+        for at in range(0, len(self.columns), 1 << 20):
+            yield slice(at, at + (1 << 20))
 
 
 def fit_weights(
     rows: Sparse, labels: np.ndarray, pairs: Sparse, width: int, *, rounds: int = ROUNDS, l2: float = L2, counterfactual: float = COUNTERFACTUAL
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch Adam; both classes weigh the same, the counterfactual penalty is a mean over its pairs."""
+    """Weights (occurrence, density) by feature, and the intercept, by full-batch Adam.
+
+    Both classes weigh the same; the counterfactual penalty is a mean over its pairs.
+    """
     y = labels.astype(float)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-    w, b = np.zeros(width), 0.0
-    first, second = np.zeros(width + 1), np.zeros(width + 1)
+    w, b = np.zeros((2, width)), 0.0
+    first, second = np.zeros(2 * width + 1), np.zeros(2 * width + 1)
     for step in range(1, rounds + 1):
-        error = weight * (1 / (1 + np.exp(-np.clip(b + rows.times(w), -60, 60))) - y)
-        gradient = rows.transposed_times(error, width) + l2 * w
+        error = weight * (1 / (1 + np.exp(-np.clip(b + rows.times(w[0], w[1]), -60, 60))) - y)
+        gradient = np.stack(rows.transposed_times(error, width)) + l2 * w
         if pairs.rows:
-            gradient += counterfactual / pairs.rows * pairs.transposed_times(pairs.times(w), width)
-        whole = np.append(gradient, error.sum())
+            gradient += counterfactual / pairs.rows * np.stack(pairs.transposed_times(pairs.times(w[0], w[1]), width))
+        whole = np.append(gradient.ravel(), error.sum())
         first = 0.9 * first + 0.1 * whole
         second = 0.999 * second + 0.001 * whole**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = w - move[:-1].reshape(2, width), b - move[-1]
     return w, float(b)
 
 
@@ -226,27 +244,30 @@ def fit_toxicity(
     best = [r["f"] for r in counted.where(F.col("n") >= MIN_DOCUMENTS).select("f", strength.alias("s")).orderBy(F.desc("s"), "f").limit(features).collect()]
     place, width = {f: i for i, f in enumerate(best)}, len(best)
 
-    @F.pandas_udf("array<struct<i:int,n:long>>")
-    def positions(features_: pd.Series) -> pd.Series:
-        return pd.Series([[{"i": place[f["f"]], "n": f["n"]} for f in fs if f["f"] in place] for fs in features_])
-
-    # The sample as positions: bounded by sample x features.
-    table = rows.select("_label", "words", positions("features").alias("x"), "pairs").toPandas()
-    samples = [
-        [(x["i"], 1.0) for x in xs] + [(width + x["i"], density(x["n"], words)) for x in xs] for xs, words in zip(table["x"], table["words"], strict=True)
-    ]
-
-    def gap(gone: Iterable[str], come: Iterable[str]) -> list[tuple[int, float]]:
-        return [(place[f] + k, sign) for names, sign in ((gone, 1.0), (come, -1.0)) for f in names if f in place for k in (0, width)]
-
-    pairs = [gap(p["gone"], p["come"]) for ps in table["pairs"] for p in ps]
+    def gap(gone: Iterable[str], come: Iterable[str]) -> list[tuple[int, int]]:
+        return [(place[f], sign) for names, sign in ((gone, 1), (come, -1)) for f in names if f in place]
+
+    @F.pandas_udf("columns binary, dense binary, gaps array<binary>")
+    def positions(words: pd.Series, features_: pd.Series, pairs_: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, fs, ps in zip(words, features_, pairs_, strict=True):
+            here = [(place[f["f"]], density(f["n"], n)) for f in fs if f["f"] in place]
+            gaps = [np.array(g, dtype=np.int32).tobytes() for p in ps if (g := gap(p["gone"], p["come"]))]
+            out.append((np.array([i for i, _ in here], dtype=np.int32).tobytes(), np.array([d for _, d in here], dtype=np.float32).tobytes(), gaps))
+        return pd.DataFrame(out, columns=["columns", "dense", "gaps"])
+
+    # The sample as positions in flat arrays: bounded by sample x features.
+    table = rows.select("_label", positions("words", "features", "pairs").alias("p")).select("_label", "p.*").toPandas()
+    columns = [np.frombuffer(c, np.int32) for c in table["columns"]]
+    samples = Sparse.of(columns, [np.ones(len(c), np.int8) for c in columns], [np.frombuffer(d, np.float32) for d in table["dense"]])
+    gaps = [np.frombuffer(g, np.int32).reshape(-1, 2) for gs in table["gaps"] for g in gs]
     for group in groups:
         neutral = set(word_features(group[0]))
-        pairs += [gap(set(word_features(term)) - neutral, neutral - set(word_features(term))) for term in group[1:]]
-    weights, intercept = fit_weights(
-        Sparse.of(samples), (table["_label"] == 1).to_numpy(), Sparse.of([p for p in pairs if p]), 2 * width, counterfactual=counterfactual
-    )
-    return ToxicityModel({f: (float(weights[i]), float(weights[width + i])) for f, i in place.items() if max(abs(weights[i]), abs(weights[width + i])) > 1e-3}, intercept)
+        gaps += [np.array(g, np.int32) for term in group[1:] if (g := gap(sorted(set(word_features(term)) - neutral), sorted(neutral - set(word_features(term)))))]
+    pairs = Sparse.of([g[:, 0] for g in gaps], [g[:, 1] for g in gaps], [g[:, 1] for g in gaps])
+    weights, intercept = fit_weights(samples, (table["_label"] == 1).to_numpy(), pairs, width, counterfactual=counterfactual)
+    kept = np.flatnonzero(np.abs(weights).max(axis=0) > 1e-3)
+    return ToxicityModel({best[i]: (float(weights[0, i]), float(weights[1, i])) for i in kept}, intercept)
 
 
 def scores(model: ToxicityModel, text: str | Column = "text") -> Column:
