@@ -6,6 +6,8 @@ Index: every row goes down the tree to one leaf, and the table (leaf, id, vector
 Search: a priority queue holds nodes by the distance of their centre to the query; the nearest is taken, a leaf is visited, an inner node puts its children
 into the queue. Leaf visits widen (1, 2, 4, ... and then by bisection) until the recall over `CALIBRATION` calibration rows, whose true neighbours come from one exact
 scan of all rows, reaches `RECALL`; the queries then visit as many leaves, and more while those hold fewer than k other rows.
+The first `FIRST_VISITS` leaves of a query give a bound, its k-th distance so far. Of the further ones those are skipped that cannot hold a nearer row
+(distance to the centre less the leaf's radius), which loses nothing, and the others give only rows within the bound.
 Distances are Euclidean, in double precision, on the original vectors.
 
 A leaf of many rows (copies of one vector) is cut into chunks of `CHUNK_ROWS` rows, and a leaf that many queries visit into chunks of queries;
@@ -32,6 +34,7 @@ from flowprofile.llm.vectors import stack, usable_vectors
 SAMPLE, BRANCHES, LEAF_ROWS, MIN_LEAF_SAMPLE = 16_384, 8, 256, 8
 ROUNDS, CALIBRATION, RECALL, TOP = 12, 256, 0.97, 10
 CHUNK_ROWS, CHUNK_QUERIES = 4096, 4096
+FIRST_VISITS = 8
 
 
 @dataclass(frozen=True)
@@ -47,8 +50,8 @@ class KMeansTree:
     def leaves(self) -> int:
         return int(self.leaf.max()) + 1
 
-    def descend(self, rows: np.ndarray) -> np.ndarray:
-        """Leaf number of each row: at every node the nearest child, the first of equally near ones."""
+    def descend(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf number of each row, at every node the nearest child, the first of equally near ones; and the distance to the leaf's centre."""
         at = np.zeros(len(rows), dtype=np.int64)
         moving = np.arange(len(rows))
         while len(moving):
@@ -58,15 +61,15 @@ class KMeansTree:
                 children = self.centres[self.first[node] : self.first[node] + self.width[node]]
                 near = (children**2).sum(axis=1) - 2 * rows[here] @ children.T
                 at[here] = self.first[node] + near.argmin(axis=1)
-        return self.leaf[at]
+        return self.leaf[at], np.sqrt(((rows - self.centres[at]) ** 2).sum(axis=1))
 
-    def best_bins(self, query: np.ndarray) -> Iterator[int]:
-        """Leaf numbers in the order of a best-bin-first traversal."""
+    def best_bins(self, query: np.ndarray) -> Iterator[tuple[int, float]]:
+        """Leaf numbers, with the distances of their centres, in the order of a best-bin-first traversal."""
         queue: list[tuple[float, int]] = [(0.0, 0)]
         while queue:
-            _, node = heapq.heappop(queue)
+            square, node = heapq.heappop(queue)
             if not self.width[node]:
-                yield int(self.leaf[node])
+                yield int(self.leaf[node]), float(np.sqrt(((self.centres[node] - query) ** 2).sum())) if node == 0 else square**0.5
                 continue
             children = slice(self.first[node], self.first[node] + self.width[node])
             for child, d in enumerate(((self.centres[children] - query) ** 2).sum(axis=1).tolist(), int(self.first[node])):
@@ -127,7 +130,7 @@ def nearest_neighbours(
     embeddings: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = TOP, sample: int = SAMPLE, recall: float = RECALL,
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (distance), leaves_visited. `is_query` is a condition on the column `id`."""
+    """query_id, rank (from 1), vec_id, score (distance). `is_query` is a condition on the column `id`."""
     usable = materialize(usable_vectors(embeddings, key=key, vector=vector, nonzero=True), "vectors")
     total, dims = usable.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     by_hash = usable.orderBy(F.xxhash64("id"), "id")
@@ -137,52 +140,68 @@ def nearest_neighbours(
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(leaf=tree.descend(stack(batch["v"], dims)))
-
-    index = materialize(usable.mapInPandas(place, "id long, v array<double>, leaf int"), "leaves")
-    # Per leaf: bounded by the tree.
-    sizes = np.zeros(tree.leaves, dtype=np.int64)
-    for leaf, n in index.groupBy("leaf").count().toPandas().itertuples(index=False):
-        sizes[leaf] = n
+                leaf, off = tree.descend(stack(batch["v"], dims))
+                yield batch.assign(leaf=leaf, off=off)
+
+    index = materialize(usable.mapInPandas(place, "id long, v array<double>, leaf int, off double"), "leaves")
+    # Rows and radius per leaf: bounded by the tree.
+    sizes, radii = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves)
+    for leaf, n, radius in index.groupBy("leaf").agg(F.count(F.lit(1)), F.max("off")).toPandas().itertuples(index=False):
+        sizes[leaf], radii[leaf] = n, radius
     visits = _calibrate(index, tree, k, recall, dims)
+    index = index.drop("off")
 
     def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Leaves of each query: the first ones while it has no bound, the further ones that may be nearer once it has."""
         for batch in batches:
-            out: list[tuple[int, object, int, int]] = []
-            for identifier, v, q in zip(batch["id"].tolist(), batch["v"], stack(batch["v"], dims), strict=True):
-                held, leaves = 0, []
-                for leaf in tree.best_bins(q):
-                    if len(leaves) >= visits and held > k:
+            out: list[tuple[int, object, float, int]] = []
+            for identifier, v, bound, q in zip(batch["id"].tolist(), batch["v"], batch["bound"].tolist(), stack(batch["v"], dims), strict=True):
+                held = 0
+                for turn, (leaf, distance) in enumerate(tree.best_bins(q)):
+                    early = turn < FIRST_VISITS or held <= k
+                    if turn >= visits and held > k or (bound < 0 and not early):
                         break
-                    leaves.append(leaf)
                     held += sizes[leaf]
-                out += [(identifier, v, leaf, len(leaves)) for leaf in leaves]
+                    if bound < 0 or (not early and distance - radii[leaf] <= bound * (1 + 1e-9)):
+                        out.append((identifier, v, bound, leaf))
             if out:
-                yield pd.DataFrame(out, columns=["id", "v", "leaf", "leaves"])
-
-    plans = materialize(index.where(is_query).select("id", "v").mapInPandas(traverse, "id long, v array<double>, leaf int, leaves int"), "visits")
-    asked = np.zeros(tree.leaves, dtype=np.int64)
-    for leaf, n in plans.groupBy("leaf").count().toPandas().itertuples(index=False):
-        asked[leaf] = n
-    chunks = pd.DataFrame({"leaf": np.arange(tree.leaves), "row_chunks": -(-np.maximum(sizes, 1) // CHUNK_ROWS), "query_chunks": -(-np.maximum(asked, 1) // CHUNK_QUERIES)})
-    grid = F.broadcast(embeddings.sparkSession.createDataFrame(chunks.astype(int), "leaf int, row_chunks long, query_chunks long"))
-    own = lambda n: F.pmod(F.xxhash64("id"), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    rows_side = index.join(grid, "leaf").select("leaf", "id", "v", own(F.col("row_chunks")).alias("rc"), every(F.col("query_chunks")).alias("qc"))
-    query_side = plans.join(grid, "leaf").select("leaf", "id", "v", "leaves", own(F.col("query_chunks")).alias("qc"), every(F.col("row_chunks")).alias("rc"))
+                yield pd.DataFrame(out, columns=["id", "v", "bound", "leaf"])
 
     def visit(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float, int]] = []
+        found: list[tuple[int, int, float]] = []
         if len(held) and len(queries):
             rows, ids = stack(held["v"], dims), held["id"].to_numpy()
-            for identifier, q, leaves in zip(queries["id"].tolist(), stack(queries["v"], dims), queries["leaves"].tolist(), strict=True):
-                found += [(identifier, other, d, leaves) for other, d in nearest(rows, ids, q, k, identifier)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "leaves_visited"])
-
-    keys = ("leaf", "rc", "qc")
-    near = rows_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInPandas(visit, "query_id long, vec_id long, score double, leaves_visited int")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "leaves_visited")
+            for identifier, q, bound in zip(queries["id"].tolist(), stack(queries["v"], dims), queries["bound"].tolist(), strict=True):
+                found += [(identifier, other, d) for other, d in nearest(rows, ids, q, k, identifier) if bound < 0 or d <= bound]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    def searched(queries: DataFrame) -> DataFrame:
+        """The nearest rows of the leaves that the queries (id, v, bound) visit."""
+        plans = materialize(queries.mapInPandas(traverse, "id long, v array<double>, bound double, leaf int"), "visits")
+        asked = np.zeros(tree.leaves, dtype=np.int64)
+        for leaf, n in plans.groupBy("leaf").count().toPandas().itertuples(index=False):
+            asked[leaf] = n
+        chunks = pd.DataFrame({
+            "leaf": np.arange(tree.leaves), "row_chunks": -(-np.maximum(sizes, 1) // CHUNK_ROWS), "query_chunks": -(-np.maximum(asked, 1) // CHUNK_QUERIES),
+        })
+        grid = F.broadcast(embeddings.sparkSession.createDataFrame(chunks[asked > 0].astype(int), "leaf int, row_chunks long, query_chunks long"))
+        own = lambda n: F.pmod(F.xxhash64("id"), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        rows_side = index.join(grid, "leaf").select("leaf", "id", "v", own(F.col("row_chunks")).alias("rc"), every(F.col("query_chunks")).alias("qc"))
+        query_side = plans.join(grid, "leaf").select("leaf", "id", "v", "bound", own(F.col("query_chunks")).alias("qc"), every(F.col("row_chunks")).alias("rc"))
+        keys = ("leaf", "rc", "qc")
+        return rows_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInPandas(visit, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    queries = index.where(is_query).select("id", "v")
+    first = materialize(best(searched(queries.withColumn("bound", F.lit(-1.0)))), "first-visits")
+    bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    further = searched(queries.join(bounds, "id"))
+    # A row is in one leaf, and a leaf in one of the two rounds, so nothing is found twice.
+    return best(first.drop("rank").unionByName(further)).select("query_id", "rank", "vec_id", "score")
 
 
 def _calibrate(index: DataFrame, tree: KMeansTree, k: int, recall: float, dims: int) -> int:
@@ -208,7 +227,7 @@ def _calibrate(index: DataFrame, tree: KMeansTree, k: int, recall: float, dims:
     wanted = true.select("i", "leaf").toPandas()
     positions = []
     for i, leaves in wanted.groupby("i")["leaf"]:
-        turn = {leaf: n for n, leaf in enumerate(tree.best_bins(asked[i]))}
+        turn = {leaf: n for n, (leaf, _) in enumerate(tree.best_bins(asked[i]))}
         positions += [turn[leaf] for leaf in leaves]
     if not positions:
         return 1
