@@ -108,8 +108,8 @@ def embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = embedding_columns(spark, sf_dir)
     names = [c for c in table.columns if c.startswith("e")]
-    sample = evaluate.evaluation_sample(table, key=["vec_id"]).selectExpr("*", *[f"label % {k} as c{k}" for k in EMBEDDING_KS])
-    return evaluate.compare_clusterings(sample, names, {k: f"c{k}" for k in EMBEDDING_KS})
+    labelled = table.selectExpr("*", *[f"label % {k} as c{k}" for k in EMBEDDING_KS])
+    return evaluate.compare_clusterings(labelled, names, {k: f"c{k}" for k in EMBEDDING_KS})
 
 
 # ---- sources, sinks, row sampling

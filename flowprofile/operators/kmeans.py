@@ -7,11 +7,10 @@ restarts therefore costs as many jobs as its slowest member has iterations, inst
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +20,9 @@ from flowprofile.config import DEFAULT_K, K_RANGE, MAX_ITER, N_INIT, SEED, TOLER
 from flowprofile.functions.aggregates import per_feature
 from flowprofile.functions.columns import as_doubles, q, require_columns
 from flowprofile.operators.gram import batch_matrix
-from flowprofile.operators.sampling import uniform_sample
 
-INIT_ROWS = 10_000
+# Bytes of packed rows in a partition: every task of an iteration sends one row per centroid, so they should be few.
+PARTITION_BYTES = 1 << 30
 # Rows handled at once inside a task: the row x centroid matrix of a whole sweep stays in the processor's cache.
 BLOCK_ROWS = 1_024
 # 10,000 blocks, Spark's default number of records per Arrow batch, stay far below the 2 GB limit of a binary column.
@@ -66,50 +65,49 @@ def train_kmeans(df: DataFrame, features: Sequence[str], k: int = DEFAULT_K, **o
 
 def train_multiple_k(
     df: DataFrame, features: Sequence[str], ks: Sequence[int] = K_RANGE, n_init: int = N_INIT,
-    max_iter: int = MAX_ITER, tolerance: float = TOLERANCE, seed: int = SEED, sample_key: Sequence[str] | None = None,
-    sample_rank: str | None = None,
+    max_iter: int = MAX_ITER, tolerance: float = TOLERANCE, seed: int = SEED, init: Mapping[int, Sequence[Sequence[float]]] | None = None,
 ) -> Sweep:
-    """k-means++ starts on a hash-ordered sample, Lloyd iterations on all rows, lowest inertia per k.
+    """k-means++ starts and Lloyd iterations on all rows, lowest inertia per k.
 
-    The tolerance is relative to the mean variance of the features. `df` is scanned once per iteration and kept in
-    memory (spilling to disk) meanwhile; hand in a written table. Rows must have no missing feature.
+    `init` gives start centroids by k instead; such a k is trained once. The tolerance is relative to the mean variance of the features. `df` is scanned
+    once per iteration and kept in memory (spilling to disk) meanwhile; hand in a written table. Rows must have no missing feature.
     """
     names = list(features)
     if len(names) < 2:
         raise ValueError("clustering needs at least two features")
     if not ks or min(ks) < 1:
         raise ValueError("k must be positive")
+    given = {int(k): np.array(c, dtype=np.float64) for k, c in (init or {}).items()}
+    for k, start in given.items():
+        if start.shape != (k, len(names)):
+            raise ValueError(f"start centroids for k = {k} must be {k} rows of {len(names)} values")
     require_columns(df, names)
-    spark = df.sparkSession
     rows = as_doubles(df, names)
-    blocks = _pack(rows, len(names)).persist(StorageLevel.MEMORY_AND_DISK)
+    d = len(names)
+    stats = per_feature(rows, names, {"n": lambda c: f"count({c})", "total": lambda c: "count(*)", "var": lambda c: f"var_pop({c})"}).collect()
+    total = stats[0]["total"]
+    gaps = [r["feature"] for r in stats if r["n"] != total]
+    if gaps:
+        raise ValueError(f"missing values in: {gaps}")
+    if total < max(ks):
+        raise ValueError(f"{total} rows cannot form {max(ks)} clusters")
+    stop_at = tolerance * float(np.mean([r["var"] for r in stats]))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-total * d * 8 // PARTITION_BYTES))
+    blocks = _pack(rows, d).coalesce(int(parts)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = per_feature(rows, names, {"n": lambda c: f"count({c})", "total": lambda c: "count(*)", "var": lambda c: f"var_pop({c})"}).collect()
-        total = stats[0]["total"]
-        gaps = [r["feature"] for r in stats if r["n"] != total]
-        if gaps:
-            raise ValueError(f"missing values in: {gaps}")
-        if total < max(ks):
-            raise ValueError(f"{total} rows cannot form {max(ks)} clusters")
-        stop_at = tolerance * float(np.mean([r["var"] for r in stats]))
-
-        # At most INIT_ROWS rows, whatever the table size.
-        source = rows if sample_key is None and sample_rank is None else df
-        sample = as_doubles(uniform_sample(source, INIT_ROWS, seed, sample_key or names, sample_rank), names)
-        points = sample.toPandas().to_numpy(np.float64)
-        points = points[np.lexsort(points.T[::-1])]
-        slots = [(k, r) for k in sorted(set(ks)) for r in range(n_init)]
-        centers = _starts(spark, points, slots, seed)
+        slots = [(k, r) for k in sorted(set(ks)) for r in range(1 if k in given else n_init)]
+        centers = _starts(blocks, d, [s for s in slots if s[0] not in given], seed) | {(k, 0): given[k] for k, _ in slots if k in given}
 
         n_iter = dict.fromkeys(slots, max_iter)
         moving = list(slots)
         for iteration in range(1, max_iter + 1):
-            counts, sums, _ = _assign_and_sum(blocks, len(names), [centers[s] for s in moving])
+            counts, sums, _ = _assign_and_sum(blocks, d, [centers[s] for s in moving])
+            updated = [np.where(n[:, None] > 0, total_sum / np.maximum(n, 1)[:, None], centers[s]) for s, n, total_sum in zip(moving, counts, sums, strict=True)]
+            _refill(blocks, d, updated, counts)
             still = []
-            for slot, n, total_sum in zip(moving, counts, sums, strict=True):
-                updated = _update(centers[slot], n, total_sum, points)
-                shift = float(((updated - centers[slot]) ** 2).sum())
-                centers[slot] = updated
+            for slot, new in zip(moving, updated, strict=True):
+                shift = float(((new - centers[slot]) ** 2).sum())
+                centers[slot] = new
                 if shift <= stop_at:
                     n_iter[slot] = iteration
                 else:
@@ -117,7 +115,7 @@ def train_multiple_k(
             moving = still
             if not moving:
                 break
-        counts, _, errors = _assign_and_sum(blocks, len(names), [centers[s] for s in slots])
+        counts, _, errors = _assign_and_sum(blocks, d, [centers[s] for s in slots])
     finally:
         blocks.unpersist()
 
@@ -133,44 +131,100 @@ def train_multiple_k(
     return Sweep(models)
 
 
-def _update(old: np.ndarray, counts: np.ndarray, sums: np.ndarray, points: np.ndarray) -> np.ndarray:
-    new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], old)
-    for empty in np.flatnonzero(counts == 0):
-        # An empty cluster restarts at the sample point farthest from every other centroid.
-        others = np.delete(new, empty, axis=0)
-        nearest = ((points[:, None, :] - others[None, :, :]) ** 2).sum(2).min(1) if len(others) else np.zeros(len(points))
-        new[empty] = points[int(nearest.argmax())]
-    return new
-
-
-def _starts(spark: SparkSession, points: np.ndarray, slots: Sequence[tuple[int, int]], seed: int) -> dict[tuple[int, int], np.ndarray]:
-    """k-means++ seeds for every (k, restart), drawn in parallel from the broadcast sample."""
-    shared = spark.sparkContext.broadcast(points)
-    d = points.shape[1]
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = shared.value
-        for frame in frames:
-            for k, restart in zip(frame["k"], frame["restart"], strict=True):
-                rng = np.random.default_rng([seed, int(k), int(restart)])
-                chosen = [x[rng.integers(len(x))]]
-                nearest = ((x - chosen[0]) ** 2).sum(1)
-                trials = 2 + int(np.log(k))
-                while len(chosen) < k:
-                    mass = nearest.sum()
-                    candidates = rng.choice(len(x), trials, p=nearest / mass) if mass > 0 else rng.integers(len(x), size=trials)
-                    options = [np.minimum(nearest, ((x - x[c]) ** 2).sum(1)) for c in candidates]
-                    best = int(np.argmin([o.sum() for o in options]))
-                    chosen.append(x[candidates[best]])
-                    nearest = options[best]
-                yield pd.DataFrame({"k": k, "restart": restart, "cluster": range(k), "center": list(map(list, chosen))})
-
-    jobs = spark.createDataFrame([(int(k), int(r)) for k, r in slots], "k int, restart int").repartition(min(len(slots), 16), "k", "restart")
-    out = {s: np.zeros((s[0], d)) for s in slots}
-    for r in jobs.mapInPandas(draw, "k int, restart int, cluster int, center array<double>").collect():
-        out[r["k"], r["restart"]][r["cluster"]] = r["center"]
+def _refill(blocks: DataFrame, d: int, models: Sequence[np.ndarray], counts: Sequence[np.ndarray]) -> None:
+    """An empty cluster restarts at the row farthest from every other centroid; one scan for one empty cluster of each model."""
+    empty = [list(np.flatnonzero(n == 0)) for n in counts]
+    while any(empty):
+        at = [i for i, e in enumerate(empty) if e]
+        others = [np.delete(models[i], empty[i], axis=0) for i in at]
+        for i, (_, row) in zip(at, _extreme_rows(blocks, d, others, lambda square, _: -square.min(0)), strict=True):
+            models[i][empty[i].pop(0)] = row
+
+
+def _starts(blocks: DataFrame, d: int, slots: Sequence[tuple[int, int]], seed: int) -> dict[tuple[int, int], np.ndarray]:
+    """k-means++ seeds for every (k, restart), drawn from all rows.
+
+    A row is drawn with a probability in proportion to its squared distance to the seeds chosen so far: it has the key -ln(u) / distance,
+    where u comes from a hash of the row's values, the slot and the step, and the row of the smallest key is the one drawn. Every step draws a few
+    trial rows in one scan for all slots, and keeps the one with the lowest total error, which another scan measures. Which rows
+    share a partition does not matter. Copies of a row share a key, so they count once.
+    """
+    chosen = {s: np.empty((0, d)) for s in slots}
+    for step in range(max((k for k, _ in slots), default=0)):
+        open_ = [s for s in slots if s[0] > step]
+        trials = [1 if step == 0 else 2 + int(np.log(k)) for k, _ in open_]
+        # One entry per (slot, trial); the salt tells the draws apart.
+        wanted = [(s, t) for s, n in zip(open_, trials, strict=True) for t in range(n)]
+        salts = np.array([hash((seed, k, r, step, t)) & 0xFFFFFFFFFFFFFFFF for (k, r), t in wanted], dtype=np.uint64)
+
+        def key(square: np.ndarray, draw: tuple[int, np.ndarray], salts: np.ndarray = salts) -> np.ndarray:
+            place, digest = draw
+            u = (_mix(digest ^ salts[place]) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 + 2.0 ** -54
+            return -np.log(u) / np.maximum(square.min(0) if len(square) else 1.0, 1e-300)
+
+        drawn = [row for _, row in _extreme_rows(blocks, d, [chosen[s] for s, _ in wanted], key)]
+        if step == 0:
+            best = dict(zip(open_, drawn, strict=True))
+        else:
+            _, _, errors = _assign_and_sum(blocks, d, [np.vstack([chosen[s], row]) for (s, _), row in zip(wanted, drawn, strict=True)])
+            best = {}
+            for s in open_:
+                mine = [i for i, (slot, _) in enumerate(wanted) if slot == s]
+                best[s] = drawn[min(mine, key=lambda i: (errors[i], i))]
+        for s in open_:
+            chosen[s] = np.vstack([chosen[s], best[s]])
+    return chosen
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _row_digests(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's values; 0.0 and -0.0 are the same value."""
+    digest = np.zeros(len(x), dtype=np.uint64)
+    for column in np.ascontiguousarray(x + 0.0).view(np.uint64).T:
+        digest = _mix(digest * np.uint64(0x9E3779B97F4A7C15) + column)
+    return digest
+
+
+def _extreme_rows(blocks: DataFrame, d: int, models: Sequence[np.ndarray], key) -> list[tuple[float, np.ndarray]]:
+    """Per model the row with the smallest key(squared distances to the model's centroids, (model's place, row hashes)); one scan."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast([np.asarray(m, dtype=np.float64) for m in models])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = shared.value
+        best: list[tuple[float, np.ndarray] | None] = [None] * len(centers)
+        # Models that repeat (the trials of one slot) share their distances.
+        same = {m.tobytes(): i for i, m in reversed(list(enumerate(centers)))}
+        for batch in batches:
+            whole = _unpack(batch.column(0), d)
+            for at in range(0, len(whole), BLOCK_ROWS):
+                x = whole[at:at + BLOCK_ROWS]
+                digest, square = _row_digests(x), (x ** 2).sum(1)
+                gaps: dict[int, np.ndarray] = {}
+                for i, m in enumerate(centers):
+                    first = same[m.tobytes()]
+                    if first not in gaps:
+                        gaps[first] = np.maximum((m ** 2).sum(1)[:, None] - 2.0 * (m @ x.T) + square, 0.0)
+                    keys = key(gaps[first], (i, digest))
+                    low = int(keys.argmin())
+                    if best[i] is None or (keys[low], tuple(x[low])) < (best[i][0], tuple(best[i][1])):
+                        best[i] = (float(keys[low]), x[low].copy())
+        found = [(i, *b) for i, b in enumerate(best) if b is not None]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))],
+            names=["model", "key", "row"])
+
+    # One row per model reaches the driver.
+    rows = blocks.mapInArrow(fold, "model int, key double, row array<double>").groupBy("model").agg(F.min(F.struct("key", "row")).alias("b")).collect()
     shared.unpersist()
-    return out
+    found = {r["model"]: (r["b"]["key"], np.array(r["b"]["row"])) for r in rows}
+    return [found[i] for i in range(len(models))]
 
 
 def _pack(rows: DataFrame, d: int) -> DataFrame:

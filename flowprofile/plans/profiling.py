@@ -23,10 +23,11 @@ class Profiled:
     flags: DataFrame
     narrative: DataFrame
     dominant: DataFrame
+    config: PipelineConfig
 
     def metrics(self) -> DataFrame:
         """Comparison table over all trained k."""
-        return evaluate.evaluate_k(self.prepared.scaled, self.sweep)
+        return evaluate.evaluate_k(self.prepared.scaled, self.sweep, self.config.evaluation_rows, self.config.seed)
 
 
 def assign_cleaned(prepared: prep.Prepared, centers) -> DataFrame:
@@ -57,4 +58,4 @@ def run(df: DataFrame, config: PipelineConfig = PipelineConfig(), k: int | None
         prepared.scaled, config.features, config.ks, config.n_init, config.max_iter, config.tolerance, config.seed)
     chosen = k if k is not None else kmeans.pick_default_k(list(sweep.models), DEFAULT_K)
     assigned = assign_cleaned(prepared, sweep.models[chosen].centers)
-    return Profiled(prepared, sweep, chosen, assigned, **profile_clusters(assigned, config.features, config))
+    return Profiled(prepared, sweep, chosen, assigned, **profile_clusters(assigned, config.features, config), config=config)

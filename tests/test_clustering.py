@@ -1,6 +1,7 @@
 """Sampling, K-Means, evaluation, interpretation, scoring: invariants and brute-force checks on small tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from flowprofile.config import PipelineConfig
@@ -196,3 +197,22 @@ def test_transform_is_partition_independent(spark, blobs):
     b = prep.fit(blobs.repartition(7), NAMES)
     for p, r in zip(a.parameters, b.parameters):
         assert (p.log, p.shift) == (r.log, r.shift) and p.center == pytest.approx(r.center) and p.scale == pytest.approx(r.scale)
+
+
+def test_starts_come_from_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200_000, 3))
+    x[:3] = [[900.0, 900.0, 0.0], [900.5, 900.0, 0.0], [900.0, 900.5, 0.0]]
+    model = kmeans.train_kmeans(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"])).repartition(5), ["a", "b", "c"], 2, n_init=2, max_iter=5)
+    assert model.sizes == (199_997, 3)
+
+
+def test_given_starts_and_empty_clusters(spark):
+    df = spark.createDataFrame([(float(i), 0.0) for i in range(10)] + [(100.0, 0.0)], "x double, y double")
+    model = kmeans.train_kmeans(df, ["x", "y"], 2, init={2: [[0.0, 0.0], [90.0, 0.0]]}, max_iter=3)
+    assert model.sizes == (10, 1) and model.centers == ((4.5, 0.0), (100.0, 0.0))
+    # The third start gets no row, and restarts at the farthest one.
+    model = kmeans.train_kmeans(df, ["x", "y"], 3, init={3: [[4.0, 0.0], [5.0, 0.0], [500.0, 900.0]]}, max_iter=9)
+    assert sorted(model.sizes)[0] == 1 and (100.0, 0.0) in model.centers
+    with pytest.raises(ValueError, match="start centroids"):
+        kmeans.train_kmeans(df, ["x", "y"], 2, init={2: [[0.0, 0.0]]})
