@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from flowprofile.functions.aggregates import chunks, union_all
 from flowprofile.functions.columns import as_doubles, number, q, text
+from flowprofile.functions.storage import materialize
 
 BINS_PER_OCTAVE = 64
 SUB_BINS = 65536
 FEATURES_PER_PASS = 32
 BRACKETS_PER_PASS = 24
-MAX_TARGETS = 100_000
 
 
 def _long(df: DataFrame, names: Sequence[str], by: str | None) -> DataFrame:
@@ -44,51 +44,33 @@ def _first_bins(values: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def _inside(df: DataFrame, names: Sequence[str], by: str | None, brackets: Sequence[tuple]) -> DataFrame:
-    """(bracket, bin, v) for the values inside a bracket, emitted by the scan itself without a join."""
+def _inside(df: DataFrame, names: Sequence[str], brackets: Sequence[tuple]) -> DataFrame:
+    """(bracket, bin, v) for the values inside a bracket (fid, lo, hi), emitted by the scan itself without a join."""
     def part(numbered: list[tuple[int, tuple]]) -> DataFrame:
-        used = sorted({names[fid] for _, (_, fid, _, _) in numbered})
-        rows = as_doubles(df, used).withColumn("grp", F.lit("")) if not by else df.selectExpr(
-            *[f"nullif(cast({q(n)} as double), double('NaN')) as {q(n)}" for n in used], f"cast({q(by)} as string) as grp")
+        used = sorted({names[fid] for _, (fid, _, _) in numbered})
 
         def element(i: int, bracket: tuple) -> str:
-            grp, fid, lo, hi = bracket
+            fid, lo, hi = bracket
             v = q(names[fid])
-            member = f"grp = {text(grp)} and " if by else ""
-            return f"case when {member}{v} between {number(lo)} and {number(hi)} then struct({i} as bracket, {v} as v) end"
-        inside = rows.selectExpr("inline(array(" + ", ".join(element(i, b) for i, b in numbered) + "))").where("bracket is not null")
+            return f"case when {v} between {number(lo)} and {number(hi)} then struct({i} as bracket, {v} as v) end"
+        inside = as_doubles(df, used).selectExpr("inline(array(" + ", ".join(element(i, b) for i, b in numbered) + "))").where("bracket is not null")
         first = numbered[0][0]
-        lows = "array(" + ", ".join(number(b[2]) for _, b in numbered) + ")"
-        widths = "array(" + ", ".join(number(b[3] - b[2]) for _, b in numbered) + ")"
+        lows = "array(" + ", ".join(number(b[1]) for _, b in numbered) + ")"
+        widths = "array(" + ", ".join(number(b[2] - b[1]) for _, b in numbered) + ")"
         step = f"(v - element_at({lows}, bracket - {first} + 1)) / element_at({widths}, bracket - {first} + 1) * {SUB_BINS}"
         return inside.selectExpr("bracket", f"cast(least(floor({step}), {SUB_BINS - 1}) as bigint) as bin", "v + 0D as v")
 
     return union_all([part(numbered) for numbered in chunks(list(enumerate(brackets)), BRACKETS_PER_PASS)])
 
 
-_TARGET = ("grp", "fid", "prob", "side", "frac", "rank")
-_STATE = "bracket int, grp string, fid int, prob double, side int, frac double, rank bigint"
+_TARGET = ("fid", "prob", "side", "frac", "rank")
+_STATE = "bracket int, fid int, prob double, side int, frac double, rank bigint"
 
 
-def exact_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], by: str | None = None) -> list[dict]:
-    """Rows `{group, feature, prob, lower, upper, frac, value}`; runs a few jobs.
-
-    `lower`/`upper` are the order statistics around the quantile, `value` their interpolation, so that a
-    monotone transform of the column can be applied to them before interpolating. Columns without values yield
-    no row. The result has |groups| x |features| x |probs| rows: use `by` only on a column with few values.
-    """
-    out: list[dict] = []
-    for part in chunks(features, FEATURES_PER_PASS):
-        out += _quantiles(df, part, probs, by)
-    return out
-
-
-def _quantiles(df: DataFrame, names: list[str], probs: Sequence[float], by: str | None) -> list[dict]:
-    spark = df.sparkSession
-    values = _long(df, names, by)
-    bins = _first_bins(values)
+def _ranked(values: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """(grp, fid, prob, side, frac, rank, n, lo, hi): the first bins that hold the wanted ranks; two rows per (group, feature, prob)."""
     wanted = "array(" + ", ".join(number(p) for p in probs) + ")"
-    ranked = bins.selectExpr(
+    return _first_bins(values).selectExpr(
         "*",
         "sum(n) over (partition by grp, fid order by bin) as upto",
         "sum(n) over (partition by grp, fid) as total",
@@ -99,10 +81,25 @@ def _quantiles(df: DataFrame, names: list[str], probs: Sequence[float], by: str
         "case when side = 0 then cast(floor(pos) as bigint) else cast(ceil(pos) as bigint) end as r",
     ).where("r < upto and r >= upto - n").selectExpr(
         "grp", "fid", "prob", "side", "frac", "r - (upto - n) as rank", "n", "lo", "hi")
-    # Two rows per (group, feature, prob); only a grouping column with very many values can exceed the bound.
-    state = [r.asDict() for r in ranked.limit(MAX_TARGETS + 1).collect()]
-    if len(state) > MAX_TARGETS:
-        raise ValueError(f"{by!r} has too many values for grouped quantiles")
+
+
+def exact_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float]) -> list[dict]:
+    """Rows `{feature, prob, lower, upper, frac, value}`; runs a few jobs.
+
+    `lower`/`upper` are the order statistics around the quantile, `value` their interpolation, so that a
+    monotone transform of the column can be applied to them before interpolating. Columns without values yield
+    no row. The result has |features| x |probs| rows; for quantiles per group see `grouped_quantiles`.
+    """
+    out: list[dict] = []
+    for part in chunks(features, FEATURES_PER_PASS):
+        out += _quantiles(df, part, probs)
+    return out
+
+
+def _quantiles(df: DataFrame, names: list[str], probs: Sequence[float]) -> list[dict]:
+    spark = df.sparkSession
+    # Two rows per (feature, prob).
+    state = [r.asDict() for r in _ranked(_long(df, names, None), probs).collect()]
 
     while True:
         for s in state:
@@ -114,13 +111,13 @@ def _quantiles(df: DataFrame, names: list[str], probs: Sequence[float], by: str
         unsettled = [s for s in state if s["lo"] != s["hi"]]
         if not unsettled:
             break
-        # At most 2 x probs x features x groups brackets, whatever the table size.
-        brackets = sorted({(s["grp"], s["fid"], s["lo"], s["hi"]) for s in unsettled})
+        # At most 2 x probs x features brackets, whatever the table size.
+        brackets = sorted({(s["fid"], s["lo"], s["hi"]) for s in unsettled})
         bracket_of = {b: i for i, b in enumerate(brackets)}
         targets = spark.createDataFrame(
-            [(bracket_of[s["grp"], s["fid"], s["lo"], s["hi"]], *(s[f] for f in _TARGET)) for s in unsettled], _STATE)
+            [(bracket_of[s["fid"], s["lo"], s["hi"]], *(s[f] for f in _TARGET)) for s in unsettled], _STATE)
         split = (
-            _inside(df, names, by, brackets)
+            _inside(df, names, brackets)
             .groupBy("bracket", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             .selectExpr("*", "sum(n) over (partition by bracket order by bin) as upto")
         )
@@ -132,11 +129,11 @@ def _quantiles(df: DataFrame, names: list[str], probs: Sequence[float], by: str
 
     by_target: dict[tuple, dict] = {}
     for s in state:
-        slot = by_target.setdefault((s["grp"], s["fid"], s["prob"]), {"frac": s["frac"]})
+        slot = by_target.setdefault((s["fid"], s["prob"]), {"frac": s["frac"]})
         slot["lower" if s["side"] == 0 else "upper"] = s["lo"]
     return [
-        {"group": g if by else None, "feature": names[f], "prob": p, **slot, "value": interpolate(slot["lower"], slot["upper"], slot["frac"])}
-        for (g, f, p), slot in sorted(by_target.items())
+        {"feature": names[f], "prob": p, **slot, "value": interpolate(slot["lower"], slot["upper"], slot["frac"])}
+        for (f, p), slot in sorted(by_target.items())
     ]
 
 
@@ -146,17 +143,45 @@ def interpolate(lower: float, upper: float, frac: float) -> float:
     return lower + (upper - lower) * frac if math.isfinite(upper - lower) else (upper if frac > 0 else lower)
 
 
-def quantile_table(df: DataFrame, features: Sequence[str], probs: dict[str, float], by: str | None = None) -> DataFrame:
-    """(feature, one column per requested quantile), plus the group as text when `by` is given."""
-    spark = df.sparkSession
-    rows: dict[tuple, dict] = {}
-    for r in exact_quantiles(df, features, list(probs.values()), by):
-        rows.setdefault((r["group"], r["feature"]), {})[r["prob"]] = r["value"]
-    groups = sorted({g for g, _ in rows}) if by else [None]
-    data = [
-        (g, f, *[rows.get((g, f), {}).get(p) for p in probs.values()])
-        for g in groups for f in features
+def grouped_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], by: str) -> DataFrame:
+    """(grp, feature, prob, value) per value of `by` (as text); groups and features without values have no row.
+
+    What is known of the wanted ranks is a written table that is joined with the values, so one scan per refinement serves any number
+    of groups and features, and nothing of it reaches the driver.
+    """
+    names = list(features)
+    values = _long(df, names, by)
+    settle = [
+        "grp", "fid", "prob", "side", "frac", "rank", "n",
+        "case when rank > 0 and rank = n - 1 then hi else lo end as lo", "case when rank = 0 then lo else hi end as hi",
     ]
-    schema = "grp string, feature string, " + ", ".join(f"{name} double" for name in probs)
-    table = spark.createDataFrame(data, schema)
-    return table if by else table.drop("grp")
+    state = materialize(_ranked(values, probs).selectExpr(*settle), "ranks")
+    while not (unsettled := state.where("lo != hi")).isEmpty():
+        brackets = unsettled.select("grp", "fid", "lo", "hi").distinct()
+        step = f"(v - lo) / (hi - lo) * {SUB_BINS}"
+        split = (
+            values.join(brackets, ["grp", "fid"]).where("v between lo and hi")
+            .selectExpr("grp", "fid", "lo as low", "hi as high", f"cast(least(floor({step}), {SUB_BINS - 1}) as bigint) as bin", "v + 0D as v")
+            .groupBy("grp", "fid", "low", "high", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .selectExpr("*", "sum(n) over (partition by grp, fid, low, high order by bin) as upto")
+        )
+        targets = unsettled.selectExpr("grp", "fid", "prob", "side", "frac", "rank", "lo as low", "hi as high")
+        found = split.join(targets, ["grp", "fid", "low", "high"]).where("rank < upto and rank >= upto - n").selectExpr(
+            "grp", "fid", "prob", "side", "frac", "rank - (upto - n) as rank", "n", "lo", "hi")
+        state = materialize(state.where("lo = hi").unionByName(found.selectExpr(*settle)), "ranks")
+    sides = state.groupBy("grp", "fid", "prob").agg(
+        F.expr("max(case when side = 0 then lo end)").alias("lower"), F.expr("max(case when side = 1 then lo end)").alias("upper"), F.max("frac").alias("frac"))
+    value = "case when lower = upper or frac = 0D then lower when abs(upper - lower) < double('Infinity') then lower + (upper - lower) * frac else upper end"
+    return sides.selectExpr("grp", "element_at(array(" + ", ".join(text(n) for n in names) + "), fid + 1) as feature", "prob", f"{value} as value")
+
+
+def quantile_table(df: DataFrame, features: Sequence[str], probs: dict[str, float], by: str | None = None) -> DataFrame:
+    """(feature, one column per requested quantile), plus the group as text `grp` when `by` is given (groups without values are absent then)."""
+    if by:
+        columns = [F.expr(f"max(case when prob = {number(p)} then value end)").alias(name) for name, p in probs.items()]
+        return grouped_quantiles(df, features, list(probs.values()), by).groupBy("grp", "feature").agg(*columns)
+    rows: dict[str, dict] = {}
+    for r in exact_quantiles(df, features, list(probs.values())):
+        rows.setdefault(r["feature"], {})[r["prob"]] = r["value"]
+    data = [(f, *[rows.get(f, {}).get(p) for p in probs.values()]) for f in features]
+    return df.sparkSession.createDataFrame(data, "feature string, " + ", ".join(f"{name} double" for name in probs))

@@ -46,7 +46,7 @@ def cluster_profiles(df: DataFrame, features: Sequence[str] | None = None, clust
     rows = _with_cluster(df, names, cluster)
     basic = per_feature(rows, names, {"mean": lambda c: f"avg({c})", "count": lambda c: "count(*)"}, by=["cluster"])
     medians = quantile_table(rows, names, {"median": 0.5}, by="cluster")
-    joined = basic.withColumn("grp", F.col("cluster").cast("string")).join(F.broadcast(medians), ["grp", "feature"], "left")
+    joined = basic.withColumn("grp", F.col("cluster").cast("string")).join(medians, ["grp", "feature"], "left")
     return joined.selectExpr(
         "cluster", "feature", "stack(3, 'count', cast(count as double), 'mean', mean, 'median', median) as (stat, value)",
     ).select("cluster", "stat", "feature", "value").orderBy("cluster", "stat", "feature")

@@ -7,7 +7,7 @@ import pytest
 
 from flowprofile.config import PipelineConfig
 from flowprofile.functions.columns import numeric_columns, require_columns
-from flowprofile.functions.quantiles import exact_quantiles
+from flowprofile.functions.quantiles import exact_quantiles, grouped_quantiles
 from flowprofile.operators import prep, profile
 from flowprofile.sources import load_flows, separate_labels, validate_schema
 
@@ -66,12 +66,19 @@ def test_quantiles_match_numpy(spark, seed):
 
 
 def test_grouped_quantiles(spark):
-    rng = np.random.default_rng(5)
-    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 2000), rng.normal(size=2000))]
-    got = exact_quantiles(spark.createDataFrame(rows, "g int, x double"), ["x"], [0.5], by="g")
-    for r in got:
-        assert r["value"] == pytest.approx(np.median([v for g, v in rows if str(g) == r["group"]]), rel=1e-12)
-    assert len(got) == 3
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v), float(v * v)) for g, v in zip(rng.integers(0, 4, 2000), rng.normal(size=2000), strict=True)]
+    df = spark.createDataFrame([*rows, (9, float("nan"), None), (None, 1.0, 1.0)], "g int, x double, y double").repartition(3)
+    got = {(r["grp"], r["feature"], r["prob"]): r["value"] for r in grouped_quantiles(df.where("g is not null"), ["x", "y"], [0.25, 0.5], "g").collect()}
+    assert len(got) == 16
+    for (g, f, p), v in got.items():
+        assert v == np.quantile([r[1 if f == "x" else 2] for r in rows if r[0] == int(g)], p)
+
+
+def test_quantiles_of_very_many_groups(spark):
+    df = spark.range(30_000).selectExpr("id % 3000 as g", "cast((id * 7919) % 100003 as double) as x")
+    got = {int(r["grp"]): r["value"] for r in grouped_quantiles(df, ["x"], [0.5], "g").collect()}
+    assert got == {g: float(np.median([(i * 7919) % 100003 for i in range(g, 30_000, 3000)])) for g in range(3000)}
 
 
 def test_correlation_is_pairwise_complete(spark):
