@@ -243,6 +243,65 @@ CTES += [
     ("moved", _moved()[1]),
 ]
 
+# ---- trainings from given starts: the first k given centroids, three Lloyd steps over all scaled rows
+GIVEN_KS, GIVEN_ITERATIONS, COMPARED_ROWS, PLOTTED_ROWS = (2, 3, 4), 3, 2_000, 20_000
+
+
+def _nearest_of(k: int, table: str, rows: str) -> str:
+    """Rows with `c`, the nearest of k centroids, and `e`, the squared distance to it."""
+    squares = ", ".join(f"{' + '.join(f'(n.{f} - m{j}.{f}) * (n.{f} - m{j}.{f})' for f in F)} AS e{j}" for j in range(k))
+    joins = " ".join(f"CROSS JOIN (SELECT * FROM {table} WHERE c = {j}) m{j}" for j in range(k))
+    least = "least(" + ", ".join(f"e{j}" for j in range(k)) + ")"
+    nearest = "CASE " + " ".join(f"WHEN e{j} = {least} THEN {j}" for j in range(k)) + " END"
+    return f"SELECT *, {nearest} AS c, {least} AS e FROM (SELECT n.*, {squares} FROM {rows} n {joins}) x"
+
+
+_MEANS = ", ".join(f"avg({f}) AS {f}" for f in F)
+for _k in GIVEN_KS:
+    CTES.append((f"tr{_k}s0", f"SELECT cluster AS c, {', '.join(F)} FROM cent WHERE cluster < {_k}"))
+    for _step in range(1, GIVEN_ITERATIONS + 1):
+        CTES.append((f"tr{_k}s{_step}", f"SELECT c, {_MEANS} FROM ({_nearest_of(_k, f'tr{_k}s{_step - 1}', 'scaled')}) y GROUP BY c"))
+    # Sizes and errors belong to the last centroids; clusters are numbered by size, then by centroid.
+    _last = f"tr{_k}s{GIVEN_ITERATIONS}"
+    CTES.append((f"tr{_k}n", f"SELECT c, count(*) AS size, sum(e) AS error FROM ({_nearest_of(_k, _last, 'scaled')}) y GROUP BY c"))
+    CTES.append((f"tr{_k}", f"SELECT {_k} AS k, row_number() OVER (ORDER BY size DESC, {', '.join(F)}) - 1 AS cluster, size, error, {', '.join(F)} FROM {_last} JOIN tr{_k}n USING (c)"))
+    CTES.append((f"tr{_k}c", f"SELECT cluster AS c, {', '.join(F)} FROM tr{_k}"))
+CTES += [
+    ("small", f"SELECT row_number() OVER () AS line, {', '.join(F)} FROM (SELECT * FROM scaled ORDER BY {ORDER} LIMIT {COMPARED_ROWS}) o"),
+    ("labs", " UNION ALL ".join(f"SELECT {k} AS k, line, c, {', '.join(F)} FROM ({_nearest_of(k, f'tr{k}c', 'small')}) y" for k in GIVEN_KS)),
+    ("lpair", f"SELECT a.k, a.line, a.c AS ca, b.c AS cb, count(*) AS n, sum(sqrt({' + '.join(f'(a.{f} - b.{f}) * (a.{f} - b.{f})' for f in F)})) AS d "
+              "FROM labs a JOIN labs b ON a.k = b.k AND a.line <> b.line GROUP BY a.k, a.line, a.c, b.c"),
+    ("lsil", "SELECT k, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM "
+             "(SELECT k, line, max(CASE WHEN ca = cb THEN d / n END) AS a, min(CASE WHEN ca <> cb THEN d / n END) AS b FROM lpair GROUP BY k, line) p GROUP BY k"),
+    ("lcen", f"SELECT k, c, count(*) AS n, {_MEANS} FROM labs GROUP BY k, c"),
+    ("lwith", f"SELECT c.k, c.c, c.n, avg(sqrt({_square})) AS s, sum({_square}) AS w FROM labs n JOIN lcen c ON c.k = n.k AND c.c = n.c GROUP BY c.k, c.c, c.n"),
+    ("ldb", f"SELECT k, avg(worst) AS davies_bouldin FROM (SELECT a.k, a.c, max((x.s + y.s) / sqrt({' + '.join(f'(a.{f} - b.{f}) * (a.{f} - b.{f})' for f in F)})) AS worst "
+            "FROM lcen a JOIN lcen b ON a.k = b.k AND a.c <> b.c JOIN lwith x ON x.k = a.k AND x.c = a.c JOIN lwith y ON y.k = b.k AND y.c = b.c GROUP BY a.k, a.c) t GROUP BY k"),
+    ("lch", f"SELECT a.k, sum(a.n * ({' + '.join(f'(a.{f} - b.{f}) * (a.{f} - b.{f})' for f in F)})) * (sum(a.n) - count(*)) / (sum(x.w) * (count(*) - 1)) AS calinski_harabasz "
+            f"FROM lcen a JOIN lwith x ON x.k = a.k AND x.c = a.c, (SELECT {_MEANS} FROM small) b GROUP BY a.k"),
+    ("stop", f"SELECT 1e-9 * ({' + '.join(f'var_pop({f})' for f in F)}) / {len(F)} AS stop FROM scaled"),
+    ("shifts", " UNION ALL ".join(
+        f"SELECT {k} AS k, {j} AS step, sum({' + '.join(f'(a.{f} - b.{f}) * (a.{f} - b.{f})' for f in F)}) AS shift FROM tr{k}s{j} a JOIN tr{k}s{j - 1} b USING (c)"
+        for k in GIVEN_KS for j in range(1, GIVEN_ITERATIONS + 1))),
+    ("iterations", f"SELECT k, coalesce(min(CASE WHEN shift <= stop THEN step END), {GIVEN_ITERATIONS}) AS n_iter FROM shifts, stop GROUP BY k"),
+    ("errors", " UNION ALL ".join(f"SELECT {k} AS k, sum(error) AS inertia FROM tr{k}" for k in GIVEN_KS)),
+]
+_WEIGHT = "0.2041241452319315e0"
+_SIGNS = ([1] * len(F), [1 if i % 2 == 0 else -1 for i in D])
+
+
+def _component(which: int, center: bool = True) -> str:
+    return "(" + " + ".join(f"({f}{f' - p{i}' if center else ''}) * {_WEIGHT} * {_SIGNS[which][i]}" for i, f in enumerate(F)) + ")"
+
+
+_PCA_MEANS = f"(SELECT {', '.join(f'avg({f}) AS p{i}' for i, f in enumerate(F))} FROM scaled) means"
+
+
+def _trained(k: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST(k AS INT) AS k, CAST(cluster AS INT) AS cluster, CAST(size AS BIGINT) AS size, CAST({i} AS INT) AS ordinal, {r(F[i])} AS value FROM tr{k}" for i in D)
+
+
 # ---- embeddings: every clustering label % k
 _EMB = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(DIMENSIONS))
 _SQ = "pow(list_distance({a}, {b}), 2)"
@@ -352,11 +411,39 @@ def oracle_sql() -> dict[str, str]:
     out["scale_robust"] = scaled("quantile_cont({f}, 0.5)", "quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25)")
     out["scale_none"] = named("clean")
     out["preprocess"] = named("scaled")
-    out["preprocess_parameters"] = out["load_bundle"] = " UNION ALL ".join(
+    out["preprocess_parameters"] = " UNION ALL ".join(
         f"SELECT {name(i)} AS feature, CAST({i} AS INT) AS ordinal, CAST(CASE WHEN abs(s{i}) > 2 THEN 1 ELSE 0 END AS INT) AS log, "
         + rounded(shift=f"CASE WHEN abs(s{i}) > 2 THEN greatest(-m{i}, 0) ELSE 0 END", center=f"a{i}", scale=f"d{i}") + " FROM sk, st" for i in D)
     out["transform_new"] = named("newsc", ["flow_id", "reasons"], label=False)
 
+    log = "CASE WHEN abs(s{i}) > 2 THEN {a} ELSE 0e0 END"
+    bundle = [f"SELECT 'centroids' AS part, CAST(cluster AS VARCHAR) AS name, CAST({i} AS INT) AS ordinal, {r(f)} AS value FROM cent" for i, f in enumerate(F)]
+    for i in D:
+        for at, sql in enumerate((log.format(i=i, a="1e0"), log.format(i=i, a=f"greatest(-m{i}, 0)"), f"a{i}", f"d{i}")):
+            bundle.append(f"SELECT 'parameters', {name(i)}, CAST({at} AS INT), {r(f'({sql})')} FROM sk, st")
+    features = ",".join(DEFAULT_FEATURES)
+    bundle += [f"SELECT 'metadata', '{features}', CAST({at} AS INT), {r(f'({sql})')}" for at, sql in enumerate(("7e0", "0.5e0", "3e0"))]
+    out["save_bundle"] = out["load_bundle"] = " UNION ALL ".join(bundle)
+
+    # trainings from given starts
+    out["train_kmeans"] = _trained(GIVEN_KS[1])
+    out["train_multiple_k"] = " UNION ALL ".join(_trained(k) for k in GIVEN_KS)
+    out["training_summary"] = f"SELECT CAST(k AS INT) AS k, {rounded(inertia='inertia')}, CAST(n_iter AS INT) AS n_iter FROM errors JOIN iterations USING (k)"
+    out["elbow_series"] = f"SELECT CAST(k AS INT) AS k, {rounded(inertia='inertia')} FROM errors"
+    out["evaluate_k"] = (
+        f"SELECT CAST(k AS INT) AS k, {rounded(silhouette='silhouette', davies_bouldin='davies_bouldin', calinski_harabasz='calinski_harabasz', inertia='inertia')} "
+        "FROM lsil JOIN ldb USING (k) JOIN lch USING (k) JOIN errors USING (k)")
+
+    # given components
+    out["pca_project"] = f"SELECT flow_id, {r(_component(0))} AS PC1, {r(_component(1))} AS PC2 FROM scaled, {_PCA_MEANS}"
+    variances = " + ".join(f"var_samp({f})" for f in F)
+    ratio = [f"var_samp({_component(k, False)}) / ({variances})" for k in (0, 1)]
+    out["pca_explained_variance"] = (
+        f"SELECT 'PC1' AS component, {rounded(ratio=ratio[0], cumulative=ratio[0])} FROM scaled UNION ALL "
+        f"SELECT 'PC2', {rounded(ratio=ratio[1], cumulative=f'{ratio[0]} + {ratio[1]}')} FROM scaled")
+    out["pca_scatter"] = (
+        f"SELECT {r(_component(0))} AS PC1, {r(_component(1))} AS PC2, cluster FROM (SELECT * FROM scaled ORDER BY {ORDER} LIMIT {PLOTTED_ROWS}) o, {_PCA_MEANS}")
+
     # given assignment and centroids
     out["assign_clusters"] = f"SELECT flow_id, CAST({_NEAREST} AS INT) AS cluster FROM (SELECT n.flow_id, {_CENTER_D} FROM scaled n {_CENTER_J}) x"
     out["lloyd_step"] = _moved()[0]

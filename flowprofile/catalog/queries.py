@@ -23,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = list(DEFAULT_FEATURES)
 ROWS = [*FEATURES, LABEL_COLUMN]
 GIVEN_K = 7
+# Trainings that SQL repeats: numbers of clusters, iterations, and rows of the sample they are compared on.
+GIVEN_KS, GIVEN_ITERATIONS, COMPARED_ROWS = (2, 3, 4), 3, 2_000
 EMBEDDING_KS = tuple(range(2, 9))
 CONFIG = PipelineConfig()
 
@@ -93,11 +95,19 @@ def given_about(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> kmeans.Sweep:
-    return once("sweep", spark, sf_dir, lambda: kmeans.train_multiple_k(prepared(spark, sf_dir).scaled, FEATURES, CONFIG.ks))
+    """Trained from given starts, three iterations, so that any engine can repeat it."""
+    return once("sweep", spark, sf_dir, lambda: kmeans.train_multiple_k(
+        prepared(spark, sf_dir).scaled, FEATURES, GIVEN_KS, max_iter=GIVEN_ITERATIONS, tolerance=1e-9,
+        init={k: given_centers(spark, sf_dir)[:k] for k in GIVEN_KS}))
+
+
+def seeded_sweep(spark: SparkSession, sf_dir: str) -> kmeans.Sweep:
+    """All k with all restarts, from starts of its own."""
+    return once("seeded_sweep", spark, sf_dir, lambda: kmeans.train_multiple_k(prepared(spark, sf_dir).scaled, FEATURES, CONFIG.ks))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once("metrics", spark, sf_dir, lambda: evaluate.evaluate_k(prepared(spark, sf_dir).scaled, sweep(spark, sf_dir)))
+    return once("metrics", spark, sf_dir, lambda: evaluate.evaluate_k(prepared(spark, sf_dir).scaled, sweep(spark, sf_dir), COMPARED_ROWS, rank=RANK_SQL))
 
 
 def embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,23 +177,35 @@ def preview(spark, sf_dir):
     return comparable(sampling.preview(flows(spark, sf_dir, with_id=True), 10))
 
 
-@register
-def save_bundle_query(spark, sf_dir):
-    path = _bundle(spark, sf_dir, sweep(spark, sf_dir).models[CONFIG.ks[0]])
-    return spark.read.parquet(f"{path}/centroids").selectExpr("k", "cluster", "size", "size(center) as dimensions")
+def _bundle(spark, sf_dir) -> str:
+    p = prepared(spark, sf_dir)
+    given_model = kmeans.KMeansModel(GIVEN_K, tuple(FEATURES), tuple(map(tuple, given_centers(spark, sf_dir))), (0,) * GIVEN_K, 0.5, 3)
+    return save_bundle(spark, new_path(spark, "bundle"), given_model, p.preprocessor, {"label": LABEL_COLUMN})
 
 
-def _bundle(spark, sf_dir, model) -> str:
-    p = prepared(spark, sf_dir)
-    return save_bundle(spark, new_path(spark, "bundle"), model, p.preprocessor, {"label": LABEL_COLUMN, "features": FEATURES})
+def _bundle_rows(centroids: DataFrame, parameters: DataFrame, metadata: DataFrame) -> DataFrame:
+    """All values of the three tables: (part, name, ordinal, value)."""
+    rows = centroids.selectExpr("'centroids' as part", "cast(cluster as string) as name", "posexplode(center) as (ordinal, value)")
+    rows = rows.unionByName(parameters.selectExpr(
+        "'parameters' as part", "feature as name", "posexplode(array(cast(cast(log as int) as double), shift, center, scale)) as (ordinal, value)"))
+    rows = rows.unionByName(metadata.selectExpr(
+        "'metadata' as part", "concat_ws(',', features) as name", "posexplode(array(cast(k as double), inertia, cast(n_iter as double))) as (ordinal, value)"))
+    return comparable(rows)
+
+
+@register
+def save_bundle_query(spark, sf_dir):
+    path = _bundle(spark, sf_dir)
+    version = spark.read.parquet(f"{path}/versions").first()["version"]
+    return _bundle_rows(*[spark.read.parquet(f"{path}/{version}/{table}") for table in ("centroids", "parameters", "metadata")])
 
 
 @register
 def load_bundle_query(spark, sf_dir):
-    centers = given_centers(spark, sf_dir)
-    given_model = kmeans.KMeansModel(GIVEN_K, tuple(FEATURES), tuple(map(tuple, centers)), (0,) * len(centers), 0.0, 0)
-    bundle = load_bundle(spark, _bundle(spark, sf_dir, given_model))
-    return comparable(_parameter_rows(bundle.preprocessor.table(spark)))
+    bundle = load_bundle(spark, _bundle(spark, sf_dir))
+    m = bundle.model
+    about = spark.createDataFrame([(m.k, list(m.features), m.inertia, m.n_iter)], "k int, features array<string>, inertia double, n_iter int")
+    return _bundle_rows(kmeans.Sweep({m.k: m}).centroid_table(spark), bundle.preprocessor.table(spark), about)
 
 
 # ---- profiling
@@ -364,8 +386,10 @@ def _centroid_rows(spark: SparkSession, trained: kmeans.Sweep) -> DataFrame:
 
 @register
 def train_kmeans(spark, sf_dir):
-    model = kmeans.train_kmeans(prepared(spark, sf_dir).scaled, FEATURES, CONFIG.ks[2])
-    return _centroid_rows(spark, kmeans.Sweep({model.k: model}))
+    k = GIVEN_KS[1]
+    model = kmeans.train_kmeans(
+        prepared(spark, sf_dir).scaled, FEATURES, k, max_iter=GIVEN_ITERATIONS, tolerance=1e-9, init={k: given_centers(spark, sf_dir)[:k]})
+    return _centroid_rows(spark, kmeans.Sweep({k: model}))
 
 
 @register
@@ -444,8 +468,14 @@ def elbow_series(spark, sf_dir):
 
 # ---- dimensionality reduction
 
+def given_components() -> list[list[float]]:
+    """Two unit-length, orthogonal components of equal weights, the second with alternating signs."""
+    weight = 0.2041241452319315  # 1 / sqrt(24)
+    return [[weight] * len(FEATURES), [weight if i % 2 == 0 else -weight for i in range(len(FEATURES))]]
+
+
 def _pca(spark, sf_dir) -> project.PCAModel:
-    return once("pca", spark, sf_dir, lambda: project.fit_pca(prepared(spark, sf_dir).scaled, FEATURES))
+    return once("pca", spark, sf_dir, lambda: project.given_pca(prepared(spark, sf_dir).scaled, FEATURES, given_components()))
 
 
 @register
@@ -460,10 +490,7 @@ def pca_explained_variance(spark, sf_dir):
 
 @register
 def pca_scatter(spark, sf_dir):
-    trained = sweep(spark, sf_dir)
-    k = kmeans.pick_default_k(list(trained.models))
-    rows = kmeans.assign_clusters(prepared(spark, sf_dir).scaled, FEATURES, trained.models[k].centers)
-    return comparable(project.pca_scatter(rows, _pca(spark, sf_dir), key=["flow_id"]))
+    return comparable(project.pca_scatter(given_scaled(spark, sf_dir), _pca(spark, sf_dir), rank=RANK_SQL))
 
 
 # ---- interpretation

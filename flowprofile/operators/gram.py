@@ -6,7 +6,7 @@ its Arrow batches into d x d matrices and emits them once; Spark adds them up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,16 @@ def batch_matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
     return np.column_stack([batch.column(j).to_numpy(zero_copy_only=False) for j in range(d)]).astype(np.float64, copy=False)
 
 
-def pair_sums(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def pair_sums(df: DataFrame, names: Sequence[str], means: Mapping[str, float | None] | None = None) -> DataFrame:
     """(i, j, n, sx, sy, sxx, syy, sxy) for i <= j over the rows where both columns are present.
 
-    Values are taken relative to each column's mean, which keeps the later differences of sums accurate.
+    Values are taken relative to each column's mean (found by a scan unless given), which keeps the later differences of sums accurate.
     A column holding infinite values has no finite sums; its pairs are returned as NaN.
     """
     d = len(names)
     if d > BLOCK_COLUMNS:
-        return _in_blocks(df, list(names))
-    means = {r["feature"]: r["mean"] for r in per_feature(df, names, {"mean": lambda c: f"avg({c})"}).collect()}
+        return _in_blocks(df, list(names), means)
+    means = means or {r["feature"]: r["mean"] for r in per_feature(df, names, {"mean": lambda c: f"avg({c})"}).collect()}
     center = np.array([means[n] if means[n] is not None else 0.0 for n in names])
     usable = np.isfinite(center)
     center = np.where(usable, center, 0.0)
@@ -60,7 +60,7 @@ def pair_sums(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.mapInArrow(fold, schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
 
 
-def _in_blocks(df: DataFrame, names: list[str]) -> DataFrame:
+def _in_blocks(df: DataFrame, names: list[str], means: Mapping[str, float | None] | None) -> DataFrame:
     """Pairs of two half blocks at a time; each pass reads its own columns."""
     half = max(1, BLOCK_COLUMNS // 2)
     starts = list(range(0, len(names), half))
@@ -70,7 +70,7 @@ def _in_blocks(df: DataFrame, names: list[str]) -> DataFrame:
             of_a, of_b = list(range(a, min(a + half, len(names)))), list(range(b, min(b + half, len(names)))) if b > a else []
             places = [*of_a, *of_b]
             place = "element_at(array(" + ", ".join(map(str, places)) + "), {0} + 1)"
-            sums = pair_sums(df.select(*[q(names[i]) for i in places]), [names[i] for i in places])
+            sums = pair_sums(df.select(*[q(names[i]) for i in places]), [names[i] for i in places], means)
             # Pairs within a block come from the pass of the block alone.
             wanted = sums.where(f"i < {len(of_a)} and j >= {len(of_a)}") if of_b else sums
             parts.append(wanted.selectExpr(f"{place.format('i')} as i", f"{place.format('j')} as j", *_SUMS))

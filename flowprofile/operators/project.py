@@ -25,15 +25,21 @@ class PCAModel:
     explained: tuple[float, ...]
 
 
-def fit_pca(df: DataFrame, features: Sequence[str], n: int = PCA_COMPONENTS) -> PCAModel:
-    """Covariances from one scan over all rows; only the d x d matrix is decomposed on the driver."""
-    names = list(features)
-    rows = as_doubles(df, names)
+def _covariance(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariance matrix of the columns, from one scan over all rows after that for the means."""
     d = len(names)
-    covariance = np.zeros((d, d))
-    for r in pair_sums(rows, names).collect():
+    covariance, means = np.zeros((d, d)), np.zeros(d)
+    center = {r["feature"]: r["mean"] for r in per_feature(df, names, {"mean": lambda c: f"avg({c})"}).collect()}
+    for r in pair_sums(df, names, center).collect():
         covariance[r["i"], r["j"]] = covariance[r["j"], r["i"]] = (r["sxy"] - r["sx"] * r["sy"] / r["n"]) / max(r["n"] - 1, 1)
-    means = {r["feature"]: r["mean"] for r in per_feature(rows, names, {"mean": lambda c: f"avg({c})"}).collect()}
+    means[:] = [center[n] for n in names]
+    return means, covariance
+
+
+def fit_pca(df: DataFrame, features: Sequence[str], n: int = PCA_COMPONENTS) -> PCAModel:
+    """Covariances from all rows; only the d x d matrix is decomposed on the driver."""
+    names = list(features)
+    means, covariance = _covariance(as_doubles(df, names), names)
     values, vectors = np.linalg.eigh(covariance)
     order = np.argsort(values)[::-1][:n]
     total = float(np.trace(covariance))
@@ -41,10 +47,21 @@ def fit_pca(df: DataFrame, features: Sequence[str], n: int = PCA_COMPONENTS) ->
     for v in vectors[:, order].T:
         components.append(tuple(float(w) for w in v * np.sign(v[np.abs(v).argmax()])))
     return PCAModel(
-        tuple(names), tuple(float(means[f]) for f in names), tuple(components),
+        tuple(names), tuple(map(float, means)), tuple(components),
         tuple(float(max(values[i], 0.0) / total) if total > 0 else 0.0 for i in order))
 
 
+def given_pca(df: DataFrame, features: Sequence[str], components: Sequence[Sequence[float]]) -> PCAModel:
+    """A model of given components, with the table's means and the share of its variance that each component carries."""
+    names = list(features)
+    means, covariance = _covariance(as_doubles(df, names), names)
+    total = float(np.trace(covariance))
+    weights = np.array(components, dtype=np.float64)
+    return PCAModel(
+        tuple(names), tuple(map(float, means)), tuple(map(tuple, weights.tolist())),
+        tuple(float(w @ covariance @ w / total) if total > 0 else 0.0 for w in weights))
+
+
 def pca_project(df: DataFrame, model: PCAModel) -> DataFrame:
     """The table plus PC1, PC2, ...: a projection with literal weights, no job."""
     def component(weights: Sequence[float]) -> str:
