@@ -479,6 +479,25 @@ def oracle_sql() -> dict[str, str]:
     out["label_by_cluster"] = f"SELECT cluster, label, {_count('count(*)', 'count')} FROM clean WHERE label IS NOT NULL GROUP BY cluster, label"
     out["label_crosstab"] = "SELECT cluster, " + ", ".join(f"CAST(count_if(label = '{v}') AS BIGINT) AS \"{v}\"" for v in ("BENIGN", "Brute Force", "DoS")) + " FROM clean GROUP BY cluster"
 
+    # other tables
+    orders = "SELECT o_orderpriority, count(*) AS total, count(*) * 1e0 / sum(count(*)) OVER () * (SELECT count(*) // 4 FROM orders) AS exact FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"
+    quotas = (
+        "SELECT o_orderpriority, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, o_orderpriority) <= "
+        f"(SELECT count(*) // 4 FROM orders) - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota FROM ({orders}) s")
+    out["stratified_orders"] = (
+        f"SELECT o_orderkey, o_orderpriority, {r('o_totalprice')} AS o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY "
+        f"o_orderkey % 2147483647 * 48271 % 2147483647, o_orderkey) AS place FROM orders) o JOIN ({quotas}) q USING (o_orderpriority) WHERE place <= quota")
+
+    def skewness(table: str, columns: Sequence[str]) -> str:
+        found = " UNION ALL ".join(f"SELECT '{c}' AS feature, skewness({c}) AS s FROM {table}" for c in columns)
+        return f"SELECT feature, {rounded(skewness='s', abs_skewness='abs(s)')}, {_verdict('abs(s)')} AS verdict FROM ({found}) t"
+    out["event_skewness"] = skewness("events", ["value"])
+    out["symmetric_columns"] = skewness("lineitem", ["l_quantity", "l_discount", "l_tax"])
+    out["event_values"] = (
+        f"SELECT event_type AS value, {_count('c', 'count')}, {r(pct('c', '(SELECT count(*) FROM events)'))} AS percentage "
+        "FROM (SELECT event_type, count(*) AS c FROM events WHERE event_type IS NOT NULL GROUP BY event_type) t")
+    out["customer_balances"] = f"SELECT c_custkey, {r('ln(1 + c_acctbal + low)')} AS c_acctbal FROM customer, (SELECT greatest(-min(c_acctbal), 0) AS low FROM customer) m"
+
     # scoring
     out["score_flows"] = out["score_stream"] = (
         f"SELECT flow_id, cluster, {r('nearest')} AS nearest_distance, " + ", ".join(f"{r(f'd{k}')} AS distance_{k}" for k in range(7)) + " FROM newd")

@@ -22,6 +22,7 @@ from flowprofile.streaming import score_stream, write_scores
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = list(DEFAULT_FEATURES)
 ROWS = [*FEATURES, LABEL_COLUMN]
+ORDERS_RANK_SQL = "o_orderkey % 2147483647 * 48271 % 2147483647"
 GIVEN_K = 7
 # Trainings that SQL repeats: numbers of clusters, iterations, and rows of the sample they are compared on.
 GIVEN_KS, GIVEN_ITERATIONS, COMPARED_ROWS = (2, 3, 4), 3, 2_000
@@ -590,6 +591,37 @@ def score_stream_query(spark, sf_dir):
     return _score_rows(spark.read.schema(scored.schema).parquet(write_scores(scored)))
 
 
+# ---- the same operators on other tables: five strata, a skewness near its threshold, a negative minimum
+
+@register
+def stratified_orders(spark, sf_dir):
+    """A quarter of the orders, proportional by priority."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return comparable(sampling.stratified_sample(orders, orders.count() // 4, "o_orderpriority", rank=ORDERS_RANK_SQL))
+
+
+@register
+def event_skewness(spark, sf_dir):
+    return comparable(profile.skewness_info(spark.read.parquet(f"{sf_dir}/events.parquet"), ["value"]))
+
+
+@register
+def event_values(spark, sf_dir):
+    return comparable(profile.value_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type"))
+
+
+@register
+def customer_balances(spark, sf_dir):
+    """Balances moved above zero and logged; their lowest one is negative."""
+    balances = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
+    return comparable(prep.log_transform(balances, ["c_acctbal"]))
+
+
+@register
+def symmetric_columns(spark, sf_dir):
+    return comparable(profile.skewness_info(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_discount", "l_tax"]))
+
+
 for _name in [n for n in _REGISTRY if n.endswith("_query")]:
     _REGISTRY[_name.removesuffix("_query")] = _REGISTRY.pop(_name)
 
