@@ -39,6 +39,8 @@ L2 = 1e-4
 COUNTERFACTUAL = 1.0
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
+#: Texts whose features a task holds at once while fitting.
+TEXTS_AT_ONCE = 32
 
 #: Groups of identity terms; the first of each is its neutral term.
 IDENTITY_GROUPS = (
@@ -212,28 +214,33 @@ def fit_toxicity(
     )
     swap = swaps(groups)
 
-    @F.pandas_udf("words long, features array<struct<f:string,n:long>>, pairs array<struct<gone:array<string>,come:array<string>>>")
-    def extract(texts: pd.Series) -> pd.DataFrame:
-        words = [text_words(t) for t in texts]
-        return pd.DataFrame({
-            "words": [len(w) for w in words],
-            "features": [[{"f": f, "n": n} for f, n in sorted(text_features(w).items())] for w in words],
-            "pairs": [[{"gone": sorted(a), "come": sorted(b)} for a, b in counterfactuals(t, swap)] for t in texts],
-        })
-
-    # At most `sample` ids are broadcast; a table of ids bounded by a parameter.
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                part = batch.iloc[at : at + TEXTS_AT_ONCE]
+                words = [text_words(t) for t in part["_text"]]
+                counts = [text_features(w) for w in words]
+                yield pd.DataFrame({
+                    "label": part["_label"].to_numpy(), "words": [len(w) for w in words], "features": [list(c) for c in counts],
+                    "counts": [np.fromiter(c.values(), np.int32, len(c)) for c in counts],
+                    "pairs": [[{"gone": sorted(a), "come": sorted(b)} for a, b in counterfactuals(t, swap)] for t in part["_text"]],
+                })
+
+    # At most `sample` ids are broadcast; a table of ids bounded by a parameter. Being written fixes the row numbers.
     rows = materialize(
-        documents.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(chosen), "_key")
-        .select("_label", extract("_text").alias("e")).select("_label", "e.*"), "toxicity-sample",
+        documents.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(chosen), "_key").select("_label", "_text")
+        .mapInPandas(extract, "label int, words long, features array<string>, counts array<int>, pairs array<struct<gone:array<string>,come:array<string>>>")
+        .withColumn("row", F.monotonically_increasing_id()), "toxicity-sample",
     )
-    total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("_label") == 1).cast("long")), F.lit(0))).first()
+    total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0))).first()
     if not total or toxic in (0, total):
         return ToxicityModel({}, 0.0, toxic / total if total else 0.0)
     # Chi-squared of each feature against the label, by occurrence or by density, whichever says more.
-    counted = (
-        rows.select((F.col("_label") == 1).cast("long").alias("y"), "words", F.explode("features").alias("f"))
-        .select("y", "f.f", (F.col("f.n") >= DENSE * F.col("words")).cast("long").alias("d"))
-        .groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a"), F.sum("d").alias("dn"), F.sum(F.col("d") * F.col("y")).alias("da"))
+    entries = rows.select("row", "words", (F.col("label") == 1).cast("long").alias("y"), F.explode(F.arrays_zip(F.col("features").alias("f"), F.col("counts").alias("n"))).alias("e")).select(
+        "row", "y", "words", "e.f", "e.n"
+    )
+    counted = entries.withColumn("d", (F.col("n") >= DENSE * F.col("words")).cast("long")).groupBy("f").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("a"), F.sum("d").alias("dn"), F.sum(F.col("d") * F.col("y")).alias("da")
     )
 
     def chi_squared(n: Column, a: Column) -> Column:
@@ -247,25 +254,25 @@ def fit_toxicity(
     def gap(gone: Iterable[str], come: Iterable[str]) -> list[tuple[int, int]]:
         return [(place[f], sign) for names, sign in ((gone, 1), (come, -1)) for f in names if f in place]
 
-    @F.pandas_udf("columns binary, dense binary, gaps array<binary>")
-    def positions(words: pd.Series, features_: pd.Series, pairs_: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, fs, ps in zip(words, features_, pairs_, strict=True):
-            here = [(place[f["f"]], density(f["n"], n)) for f in fs if f["f"] in place]
-            gaps = [np.array(g, dtype=np.int32).tobytes() for p in ps if (g := gap(p["gone"], p["come"]))]
-            out.append((np.array([i for i, _ in here], dtype=np.int32).tobytes(), np.array([d for _, d in here], dtype=np.float32).tobytes(), gaps))
-        return pd.DataFrame(out, columns=["columns", "dense", "gaps"])
-
-    # The sample as positions in flat arrays: bounded by sample x features.
-    table = rows.select("_label", positions("words", "features", "pairs").alias("p")).select("_label", "p.*").toPandas()
-    columns = [np.frombuffer(c, np.int32) for c in table["columns"]]
-    samples = Sparse.of(columns, [np.ones(len(c), np.int8) for c in columns], [np.frombuffer(d, np.float32) for d in table["dense"]])
-    gaps = [np.frombuffer(g, np.int32).reshape(-1, 2) for gs in table["gaps"] for g in gs]
+    # The chosen features are a table of at most `features` rows; the sample as positions in them is bounded by sample x features.
+    chosen_features = F.broadcast(documents.sparkSession.createDataFrame(list(place.items()), "f string, i int"))
+    found = entries.join(chosen_features, "f").groupBy("row").agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n"))
+    table = rows.select("row", "label", "words").join(found, "row", "left").orderBy("row").toPandas()
+    columns = [np.empty(0, np.int32) if i is None else np.asarray(i, np.int32) for i in table["i"]]
+    densities = [np.empty(0, np.float32) if n is None else np.log1p(100 * np.asarray(n, float) / w).astype(np.float32) for n, w in zip(table["n"], table["words"], strict=True)]
+    samples = Sparse.of(columns, [np.ones(len(c), np.int8) for c in columns], densities)
+
+    @F.pandas_udf("array<binary>")
+    def gaps_of(pairs_: pd.Series) -> pd.Series:
+        return pd.Series([[np.array(g, dtype=np.int32).tobytes() for p in ps if (g := gap(p["gone"], p["come"]))] for ps in pairs_])
+
+    named = rows.where(F.size("pairs") > 0).select(F.explode(gaps_of("pairs")).alias("g")).toPandas()["g"]
+    gaps = [np.frombuffer(g, np.int32).reshape(-1, 2) for g in named]
     for group in groups:
         neutral = set(word_features(group[0]))
         gaps += [np.array(g, np.int32) for term in group[1:] if (g := gap(sorted(set(word_features(term)) - neutral), sorted(neutral - set(word_features(term)))))]
     pairs = Sparse.of([g[:, 0] for g in gaps], [g[:, 1] for g in gaps], [g[:, 1] for g in gaps])
-    weights, intercept = fit_weights(samples, (table["_label"] == 1).to_numpy(), pairs, width, counterfactual=counterfactual)
+    weights, intercept = fit_weights(samples, (table["label"] == 1).to_numpy(), pairs, width, counterfactual=counterfactual)
     kept = np.flatnonzero(np.abs(weights).max(axis=0) > 1e-3)
     return ToxicityModel({best[i]: (float(weights[0, i]), float(weights[1, i])) for i in kept}, intercept)
 
