@@ -78,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.verdict_sql(), "op5_chat_format": chat.digests_sql()}
+    return {"op4_url_filter": url_filter.verdict_sql(), "op5_chat_format": chat.digests_sql(), "op8_topk_bits": topk_bits.top_sql()}
