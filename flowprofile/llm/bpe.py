@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from flowprofile.llm.common import text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 #: Longer words are merged with linked pieces and a heap of pairs, as the plain fold is quadratic.
 LONG_WORD = 256
 

@@ -42,7 +42,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 FRAME_BYTES = 1 << 20
 LEVEL = 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 _DOCS_MAGIC, _SEEK_MAGIC, _FOOTER_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 _FILE = "part int, path string, documents long, tokens long, file_bytes long"
 # White space for str.split that the tokenizer does not take for white space.

@@ -38,7 +38,7 @@ ROUNDS = 300
 L2 = 1e-4
 COUNTERFACTUAL = 1.0
 THRESHOLD = 0.7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
 #: Texts whose features a task holds at once while fitting.
 TEXTS_AT_ONCE = 32
 
