@@ -173,6 +173,15 @@ def test_near_groups_are_those_of_the_exact_similarity(spark, monkeypatch, rows)
     assert sorted(map(tuple, kept.collect())) == sorted((i, texts[i], "f") for i in set(roots))
 
 
+def test_repeats_within_a_text_do_not_part_near_duplicates(spark):
+    rng = random.Random(5)  # 25 bits apart with repeats counted
+    passage, line = [" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (200, 20)]
+    texts = [" ".join([passage, *[line] * times]) for times in (1, 10, 1000)]
+    assert jaccard(texts[0], texts[1]) > 0.95 and jaccard(texts[1], texts[2]) == 1
+    got = simhash.near_groups(table(spark, texts)).select("row.doc_id", "group").collect()
+    assert {r.doc_id: r.group for r in got} == {0: 0, 1: 0, 2: 0}
+
+
 def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(None, "just a few words here now"), (1, "just a few words here now"), (1, "just a few words here now")], "doc_id long, text string")
     assert simhash.drop_near_duplicates(df).count() == 1
