@@ -244,7 +244,7 @@ CTES += [
 ]
 
 # ---- trainings from given starts: the first k given centroids, three Lloyd steps over all scaled rows
-GIVEN_KS, GIVEN_ITERATIONS, COMPARED_ROWS, PLOTTED_ROWS = (2, 3, 4), 3, 2_000, 20_000
+GIVEN_KS, GIVEN_ITERATIONS, PLOTTED_ROWS = (2, 3, 4), 3, 20_000
 
 
 def _nearest_of(k: int, table: str, rows: str) -> str:
@@ -267,7 +267,7 @@ for _k in GIVEN_KS:
     CTES.append((f"tr{_k}", f"SELECT {_k} AS k, row_number() OVER (ORDER BY size DESC, {', '.join(F)}) - 1 AS cluster, size, error, {', '.join(F)} FROM {_last} JOIN tr{_k}n USING (c)"))
     CTES.append((f"tr{_k}c", f"SELECT cluster AS c, {', '.join(F)} FROM tr{_k}"))
 CTES += [
-    ("small", f"SELECT row_number() OVER () AS line, {', '.join(F)} FROM (SELECT * FROM scaled ORDER BY {ORDER} LIMIT {COMPARED_ROWS}) o"),
+    ("small", f"SELECT row_number() OVER () AS line, {', '.join(F)} FROM (SELECT * FROM scaled ORDER BY {ORDER} LIMIT {EVALUATION_ROWS}) o"),
     ("labs", " UNION ALL ".join(f"SELECT {k} AS k, line, c, {', '.join(F)} FROM ({_nearest_of(k, f'tr{k}c', 'small')}) y" for k in GIVEN_KS)),
     ("lpair", f"SELECT a.k, a.line, a.c AS ca, b.c AS cb, count(*) AS n, sum(sqrt({' + '.join(f'(a.{f} - b.{f}) * (a.{f} - b.{f})' for f in F)})) AS d "
               "FROM labs a JOIN labs b ON a.k = b.k AND a.line <> b.line GROUP BY a.k, a.line, a.c, b.c"),
