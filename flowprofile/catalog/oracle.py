@@ -243,8 +243,8 @@ CTES += [
     ("moved", _moved()[1]),
 ]
 
-# ---- trainings from given starts: the first k given centroids, three Lloyd steps over all scaled rows
-GIVEN_KS, GIVEN_ITERATIONS, PLOTTED_ROWS = (2, 3, 4), 3, 20_000
+# ---- trainings from given starts: the first k given centroids (the mean of all rows as the eighth), three Lloyd steps over all scaled rows
+GIVEN_KS, TRAINED_K, GIVEN_ITERATIONS, PLOTTED_ROWS = KS, 4, 3, 20_000
 
 
 def _nearest_of(k: int, table: str, rows: str) -> str:
@@ -257,8 +257,9 @@ def _nearest_of(k: int, table: str, rows: str) -> str:
 
 
 _MEANS = ", ".join(f"avg({f}) AS {f}" for f in F)
+CTES.append(("starts", f"SELECT cluster AS c, {', '.join(F)} FROM cent UNION ALL SELECT 7 AS c, {_MEANS} FROM scaled"))
 for _k in GIVEN_KS:
-    CTES.append((f"tr{_k}s0", f"SELECT cluster AS c, {', '.join(F)} FROM cent WHERE cluster < {_k}"))
+    CTES.append((f"tr{_k}s0", f"SELECT c, {', '.join(F)} FROM starts WHERE c < {_k}"))
     for _step in range(1, GIVEN_ITERATIONS + 1):
         CTES.append((f"tr{_k}s{_step}", f"SELECT c, {_MEANS} FROM ({_nearest_of(_k, f'tr{_k}s{_step - 1}', 'scaled')}) y GROUP BY c"))
     # Sizes and errors belong to the last centroids; clusters are numbered by size, then by centroid.
@@ -426,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
     out["save_bundle"] = out["load_bundle"] = " UNION ALL ".join(bundle)
 
     # trainings from given starts
-    out["train_kmeans"] = _trained(GIVEN_KS[1])
+    out["train_kmeans"] = _trained(TRAINED_K)
     out["train_multiple_k"] = " UNION ALL ".join(_trained(k) for k in GIVEN_KS)
     out["training_summary"] = f"SELECT CAST(k AS INT) AS k, {rounded(inertia='inertia')}, CAST(n_iter AS INT) AS n_iter FROM errors JOIN iterations USING (k)"
     out["elbow_series"] = f"SELECT CAST(k AS INT) AS k, {rounded(inertia='inertia')} FROM errors"

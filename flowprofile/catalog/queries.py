@@ -24,10 +24,10 @@ FEATURES = list(DEFAULT_FEATURES)
 ROWS = [*FEATURES, LABEL_COLUMN]
 ORDERS_RANK_SQL = "o_orderkey % 2147483647 * 48271 % 2147483647"
 GIVEN_K = 7
-# Trainings that SQL repeats: numbers of clusters and iterations.
-GIVEN_KS, GIVEN_ITERATIONS = (2, 3, 4), 3
 EMBEDDING_KS = tuple(range(2, 9))
 CONFIG = PipelineConfig()
+# Trainings that SQL repeats: numbers of clusters, the one of the single training, and iterations.
+GIVEN_KS, TRAINED_K, GIVEN_ITERATIONS = CONFIG.ks, 4, 3
 
 _REGISTRY: dict[str, Query] = {}
 _KEPT: dict[tuple, object] = {}
@@ -91,6 +91,12 @@ def given_centers(spark: SparkSession, sf_dir: str) -> list[list[float]]:
     return once("centers", spark, sf_dir, lambda: kmeans.centers_of(given_scaled(spark, sf_dir), FEATURES))
 
 
+def given_starts(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    """Start centroids: the given ones, and the mean of all rows as the eighth."""
+    means = [F.avg(q(f)) for f in FEATURES]
+    return once("starts", spark, sf_dir, lambda: [*given_centers(spark, sf_dir), list(prepared(spark, sf_dir).scaled.agg(*means).first())])
+
+
 def given_about(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return once("about", spark, sf_dir, lambda: profile_clusters(given(spark, sf_dir), FEATURES, CONFIG))
 
@@ -99,7 +105,7 @@ def sweep(spark: SparkSession, sf_dir: str) -> kmeans.Sweep:
     """Trained from given starts, three iterations, so that any engine can repeat it."""
     return once("sweep", spark, sf_dir, lambda: kmeans.train_multiple_k(
         prepared(spark, sf_dir).scaled, FEATURES, GIVEN_KS, max_iter=GIVEN_ITERATIONS, tolerance=1e-9,
-        init={k: given_centers(spark, sf_dir)[:k] for k in GIVEN_KS}))
+        init={k: given_starts(spark, sf_dir)[:k] for k in GIVEN_KS}))
 
 
 def seeded_sweep(spark: SparkSession, sf_dir: str) -> kmeans.Sweep:
@@ -387,9 +393,9 @@ def _centroid_rows(spark: SparkSession, trained: kmeans.Sweep) -> DataFrame:
 
 @register
 def train_kmeans(spark, sf_dir):
-    k = GIVEN_KS[1]
+    k = TRAINED_K
     model = kmeans.train_kmeans(
-        prepared(spark, sf_dir).scaled, FEATURES, k, max_iter=GIVEN_ITERATIONS, tolerance=1e-9, init={k: given_centers(spark, sf_dir)[:k]})
+        prepared(spark, sf_dir).scaled, FEATURES, k, max_iter=GIVEN_ITERATIONS, tolerance=1e-9, init={k: given_starts(spark, sf_dir)[:k]})
     return _centroid_rows(spark, kmeans.Sweep({k: model}))
 
 
@@ -403,6 +409,12 @@ def training_summary(spark, sf_dir):
     return comparable(sweep(spark, sf_dir).summary_table(spark))
 
 
+@register
+def train_seeded_sweep(spark, sf_dir):
+    """All k with all restarts; starts of its own, so without SQL."""
+    return _centroid_rows(spark, seeded_sweep(spark, sf_dir))
+
+
 @register
 def assign_clusters(spark, sf_dir):
     return kmeans.assign_clusters(prepared(spark, sf_dir).scaled, FEATURES, given_centers(spark, sf_dir)).select("flow_id", "cluster")

@@ -41,3 +41,23 @@ def test_evaluate_k_rests_on_the_stated_sample(spark):
     assert set(got) == set(models)
     for k, model in models.items():
         assert got[k] == pytest.approx(plain_silhouette(x, nearest(x, model.centers)[0]), abs=1e-5)
+
+
+def test_every_k_is_trained(spark):
+    for name in ("train_multiple_k", "training_summary", "evaluate_k", "elbow_series"):
+        assert {r["k"] for r in queries.queries()[name](spark, FOLDER).collect()} == set(range(2, 9))
+    assert {r["k"] for r in queries.queries()["train_kmeans"](spark, FOLDER).collect()} == {4}
+
+
+def test_seeded_sweep_trains_every_k(spark):
+    x = queries.prepared(spark, FOLDER).scaled.select(*[f"`{f}`" for f in queries.FEATURES]).toPandas().to_numpy(dtype=float)
+    rows = queries.queries()["train_seeded_sweep"](spark, FOLDER).collect()
+    models = queries.seeded_sweep(spark, FOLDER).models
+    assert {r["k"] for r in rows} == set(models) == set(range(2, 9))
+    for k, model in models.items():
+        assert {r["cluster"] for r in rows if r["k"] == k} == set(range(k))
+        labels, errors = nearest(x, model.centers)
+        assert model.inertia == pytest.approx(errors.sum(), rel=1e-6)
+        assert sum(model.sizes) == len(x) and list(model.sizes) == sorted(model.sizes, reverse=True)
+        assert np.bincount(labels, minlength=k).tolist() == pytest.approx(list(model.sizes), abs=len(x) * 1e-3)
+        assert errors.sum() <= ((x - x.mean(0)) ** 2).sum()
