@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowprofile.functions.storage import materialize, new_path
 
-__all__ = ["WORD", "materialize", "new_path", "read", "text_or_empty"]
+__all__ = ["WORD", "byte_slices", "materialize", "new_path", "read", "text_or_empty"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a task turns into Python strings at once.
+SLICE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -21,3 +28,15 @@ def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFra
 def text_or_empty(column: str | Column) -> Column:
     """The text; a null one counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice holds at most `limit` bytes of the string or binary column, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop

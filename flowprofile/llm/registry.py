@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowprofile.llm import ann_tree, bpe, chat, lengths, mixing, simhash, token_files, topk_bits, toxicity, url_filter
+from flowprofile.llm import ann_tree, bpe, chat, decontaminate, lengths, mixing, simhash, token_files, topk_bits, toxicity, url_filter
 from flowprofile.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,12 +70,19 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(documents, model)
 
 
+def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that passages of the benchmark cover, and the items they come from."""
+    found = decontaminate.find_passages(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "benchmark", "item_id", "text"))
+    return decontaminate.contamination(found)
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_ann_tree, op2_token_lengths, op3_token_files, op4_url_filter, op5_chat_format, op6_byte_bpe, op7_mix_sources, op8_topk_bits, op9_simhash, op10_toxicity,
+        op13_decontaminate,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.verdict_sql(), "op5_chat_format": chat.digests_sql(), "op8_topk_bits": topk_bits.top_sql()}
+    return {"op4_url_filter": url_filter.verdict_sql(), "op5_chat_format": chat.digests_sql(), "op8_topk_bits": topk_bits.top_sql(), "op13_decontaminate": decontaminate.contamination_sql()}
