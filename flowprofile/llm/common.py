@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from flowprofile.functions.storage import materialize, new_path
 
-__all__ = ["WORD", "byte_slices", "materialize", "new_path", "read", "text_or_empty"]
+__all__ = ["WORD", "byte_slices", "materialize", "new_path", "read", "small", "text_or_empty"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task turns into Python strings at once.
 SLICE_BYTES = 4 << 20
+#: Tables are broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -30,6 +32,11 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if a count finds it has few rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds at most `limit` bytes of the string or binary column, or one row."""
     for batch in batches:
