@@ -163,7 +163,7 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.frombuffer(value.as_buffer(), np.int32)
 
 
-def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def counter_blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
     blocks = table.reshape(-1, min(_BLOCK, len(table)))
     some = np.flatnonzero(blocks.any(axis=1))
     for i in range(0, len(some), 64):
@@ -235,7 +235,7 @@ def frequent_phrases(codes: DataFrame, length: int, shorter: np.ndarray | None,
         for array, places in passing(batches):
             cell, n = np.unique(cells_of(array, length, cells)[places], return_counts=True)
             table[cell] = np.minimum(table[cell] + n, min_count)
-        yield from _blocks(table)
+        yield from counter_blocks(table)
 
     sent = spark.sparkContext.broadcast(screen(codes.mapInArrow(count_cells, "block long, counts binary"), min_count, cells))
 
@@ -279,7 +279,7 @@ def screen_of(phrases: DataFrame, length: int, cells: int) -> np.ndarray:
             if batch.num_rows:
                 matrix = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i4").astype(np.int32)
                 table[cells_of(matrix, length, cells)[::length]] = 1
-        yield from _blocks(table)
+        yield from counter_blocks(table)
 
     return screen(phrases.select("phrase").mapInArrow(mark, "block long, counts binary"), 1, cells)
 

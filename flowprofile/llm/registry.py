@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowprofile.llm import ann_tree, bpe, chat, collocations, decontaminate, lengths, mixing, simhash, token_files, topk_bits, toxicity, url_filter
+from flowprofile.llm import ann_tree, bpe, chat, collocations, decontaminate, lengths, mixing, prefix_trie, simhash, token_files, topk_bits, toxicity, url_filter
 from flowprofile.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(documents, model)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(read(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The 2,000 strongest phrases of each language."""
     return collocations.collocations(read(spark, folder, "documents", "text", "lang"))
@@ -84,10 +89,10 @@ def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         op1_ann_tree, op2_token_lengths, op3_token_files, op4_url_filter, op5_chat_format, op6_byte_bpe, op7_mix_sources, op8_topk_bits, op9_simhash, op10_toxicity,
-        op12_collocations, op13_decontaminate,
+        op11_prefix_trie, op12_collocations, op13_decontaminate,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.verdict_sql(), "op5_chat_format": chat.digests_sql(), "op8_topk_bits": topk_bits.top_sql(), "op12_collocations": collocations.collocations_sql(), "op13_decontaminate": decontaminate.contamination_sql()}
+    return {"op4_url_filter": url_filter.verdict_sql(), "op5_chat_format": chat.digests_sql(), "op8_topk_bits": topk_bits.top_sql(), "op11_prefix_trie": prefix_trie.prefix_trie_sql(), "op12_collocations": collocations.collocations_sql(), "op13_decontaminate": decontaminate.contamination_sql()}
