@@ -13,8 +13,8 @@ Distances are Euclidean, in double precision, on the original vectors.
 A leaf of many rows (copies of one vector) is cut into chunks of `CHUNK_ROWS` rows, and a leaf that many queries visit into chunks of queries;
 a task holds one chunk of each. A row of the result of a chunk is one of its k nearest for a query; a window keeps the k nearest of all.
 
-Null, zero and non-finite vectors take no part, nor do rows without an id; repeated ids count once (see `usable_vectors`); shorter vectors are padded with
-zeros. An empty table gives no rows.
+Null, zero and non-finite vectors take no part, nor do rows without an id; rows that share an id all take part, each leaving only itself out (see `usable_vectors`);
+shorter vectors are padded with zeros. Distances hold for components of any finite size; one beyond the range of a double is infinite. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowprofile.llm.common import materialize
-from flowprofile.llm.vectors import stack, usable_vectors
+from flowprofile.llm.vectors import distances, stack, usable_vectors
 
 SAMPLE, BRANCHES, LEAF_ROWS, MIN_LEAF_SAMPLE = 16_384, 8, 256, 8
 ROUNDS, CALIBRATION, RECALL, TOP = 12, 256, 0.97, 10
@@ -45,6 +45,8 @@ class KMeansTree:
     first: np.ndarray
     width: np.ndarray
     leaf: np.ndarray
+    #: Factor that brings the centres near one.
+    unit: float
 
     @property
     def leaves(self) -> int:
@@ -58,21 +60,25 @@ class KMeansTree:
             moving = moving[self.width[at[moving]] > 0]
             for node in np.unique(at[moving]):
                 here = moving[at[moving] == node]
-                children = self.centres[self.first[node] : self.first[node] + self.width[node]]
-                near = (children**2).sum(axis=1) - 2 * rows[here] @ children.T
+                children = self.centres[self.first[node] : self.first[node] + self.width[node]] * self.unit
+                with np.errstate(over="ignore", invalid="ignore"):
+                    near = (children**2).sum(axis=1) - 2 * (rows[here] * self.unit) @ children.T
                 at[here] = self.first[node] + near.argmin(axis=1)
-        return self.leaf[at], np.sqrt(((rows - self.centres[at]) ** 2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            return self.leaf[at], distances(rows - self.centres[at])
 
     def best_bins(self, query: np.ndarray) -> Iterator[tuple[int, float]]:
         """Leaf numbers, with the distances of their centres, in the order of a best-bin-first traversal."""
         queue: list[tuple[float, int]] = [(0.0, 0)]
         while queue:
-            square, node = heapq.heappop(queue)
+            distance, node = heapq.heappop(queue)
             if not self.width[node]:
-                yield int(self.leaf[node]), float(np.sqrt(((self.centres[node] - query) ** 2).sum())) if node == 0 else square**0.5
+                yield int(self.leaf[node]), float(distances(self.centres[node][None] - query)[0]) if node == 0 else distance
                 continue
             children = slice(self.first[node], self.first[node] + self.width[node])
-            for child, d in enumerate(((self.centres[children] - query) ** 2).sum(axis=1).tolist(), int(self.first[node])):
+            with np.errstate(over="ignore"):
+                apart = self.centres[children] - query
+            for child, d in enumerate(distances(apart).tolist(), int(self.first[node])):
                 heapq.heappush(queue, (d, child))
 
 
@@ -94,6 +100,10 @@ def _split(rows: np.ndarray, branches: int, generator: np.random.Generator) -> n
 def fit_tree(sample: np.ndarray, leaf_sample: int, branches: int = BRANCHES, seed: int = 11) -> KMeansTree:
     """Tree over the sample; nodes of at most `leaf_sample` sample rows, or of equal rows, are leaves."""
     generator = np.random.default_rng(seed)
+    # Clustered at a scale at which no square overflows; centres are given at the scale of the rows.
+    top = float(np.abs(sample).max(initial=0.0))
+    unit = 2.0 ** -min(1000, max(-1000, int(np.frexp(top)[1]))) if top else 1.0
+    sample = sample * unit
     centres, first, width, leaf = [sample.mean(axis=0) if len(sample) else np.zeros(0)], [0], [0], [-1]
     waiting = [(0, np.arange(len(sample)))]
     leaves = 0
@@ -114,16 +124,18 @@ def fit_tree(sample: np.ndarray, leaf_sample: int, branches: int = BRANCHES, see
             first.append(0)
             width.append(0)
             leaf.append(-1)
-    return KMeansTree(np.array(centres), np.array(first), np.array(width), np.array(leaf))
+    return KMeansTree(np.array(centres) / unit, np.array(first), np.array(width), np.array(leaf), unit)
 
 
 def nearest(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int, own: int) -> list[tuple[int, float]]:
     """The k nearest rows (id, distance) other than `own`, ties to the smaller id."""
-    square = ((rows - query) ** 2).sum(axis=1)
-    square[ids == own] = np.inf
-    keep = np.flatnonzero(square <= np.partition(square, k - 1)[k - 1]) if len(square) > k else np.arange(len(square))
-    order = keep[np.lexsort((ids[keep], square[keep]))][:k]
-    return [(int(ids[i]), float(np.sqrt(square[i]))) for i in order if ids[i] != own]
+    with np.errstate(over="ignore"):
+        far = distances(rows - query)
+    others = np.flatnonzero(ids != own)
+    far = far[others]
+    keep = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1]) if len(far) > k else np.arange(len(far))
+    order = keep[np.lexsort((ids[others[keep]], far[keep]))][:k]
+    return [(int(ids[others[i]]), float(far[i])) for i in order]
 
 
 def nearest_neighbours(
@@ -131,7 +143,7 @@ def nearest_neighbours(
     leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (distance). `is_query` is a condition on the column `id`."""
-    usable = materialize(usable_vectors(embeddings, key=key, vector=vector, nonzero=True), "vectors")
+    usable, renamed = usable_vectors(embeddings, is_query, key=key, vector=vector, nonzero=True)
     total, dims = usable.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     by_hash = usable.orderBy(F.xxhash64("id"), "id")
     fitted = stack(by_hash.limit(sample).toPandas()["v"], dims)
@@ -143,7 +155,7 @@ def nearest_neighbours(
                 leaf, off = tree.descend(stack(batch["v"], dims))
                 yield batch.assign(leaf=leaf, off=off)
 
-    index = materialize(usable.mapInPandas(place, "id long, v array<double>, leaf int, off double"), "leaves")
+    index = materialize(usable.mapInPandas(place, "id long, v array<double>, asked boolean, leaf int, off double"), "leaves")
     # Rows and radius per leaf: bounded by the tree.
     sizes, radii = np.zeros(tree.leaves, dtype=np.int64), np.zeros(tree.leaves)
     for leaf, n, radius in index.groupBy("leaf").agg(F.count(F.lit(1)), F.max("off")).toPandas().itertuples(index=False):
@@ -162,7 +174,7 @@ def nearest_neighbours(
                     if turn >= visits and held > k or (bound < 0 and not early):
                         break
                     held += sizes[leaf]
-                    if bound < 0 or (not early and distance - radii[leaf] <= bound * (1 + 1e-9)):
+                    if bound < 0 or not (early or distance - radii[leaf] > bound * (1 + 1e-9)):
                         out.append((identifier, v, bound, leaf))
             if out:
                 yield pd.DataFrame(out, columns=["id", "v", "bound", "leaf"])
@@ -196,12 +208,12 @@ def nearest_neighbours(
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    queries = index.where(is_query).select("id", "v")
+    queries = index.where("asked").select("id", "v")
     first = materialize(best(searched(queries.withColumn("bound", F.lit(-1.0)))), "first-visits")
     bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
     further = searched(queries.join(bounds, "id"))
     # A row is in one leaf, and a leaf in one of the two rounds, so nothing is found twice.
-    return best(first.drop("rank").unionByName(further)).select("query_id", "rank", "vec_id", "score")
+    return renamed(best(first.drop("rank").unionByName(further))).select("query_id", "rank", "vec_id", "score")
 
 
 def _calibrate(index: DataFrame, tree: KMeansTree, k: int, recall: float, dims: int) -> int:

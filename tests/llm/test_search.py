@@ -19,14 +19,11 @@ def odd_rows():
 
 
 def usable(rows, nonzero):
-    out = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or (nonzero and not any(v)):
-            continue
-        out[i] = min(out.get(i, list(v)), list(v))
-    ids = sorted(out)
-    wide = max((len(v) for v in out.values()), default=0)
-    return np.array(ids), np.array([np.pad(np.array(out[i], float), (0, wide - len(out[i]))) for i in ids])
+    out = sorted(
+        ((i, list(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and (any(v) or not nonzero)), key=lambda r: r[0]
+    )
+    wide = max((len(v) for _, v in out), default=0)
+    return np.array([i for i, _ in out]), np.array([np.pad(np.array(v, float), (0, wide - len(v))) for _, v in out])
 
 
 def clustered(n, dims, seed):
@@ -115,8 +112,34 @@ def test_block_scores_equal_products(seed):
         assert values == (rows @ q).tolist()
 
 
-def test_huge_components_saturate(spark):
-    rows = [(0, [1e300, 1.0]), (1, [-1e300, 2.0]), (2, [3.0, 1e300])]
+def test_components_of_any_size_are_exact(spark):
+    rows = [(0, [0.0, 1 / 64, -1 / 64]), (1, [1e300, 9e15, 1.0]), (2, [-1e300, 4e7, -3e12]), (3, [5.0, 2.0**60, 2.0**60 - 2**8]), (4, [1e-300, -1e-300, 0.5])]
     got = topk_bits.top_inner_products(table(spark, rows), F.col("id") == 0).collect()
-    top = 1 << 28
-    assert sorted((r.vec_id, r.score) for r in got) == [(1, -top * top + 64 * 128), (2, top * 192 + 64 * top)]
+    q = {i: [int(x) * 64 if abs(x) > 1e15 else int(np.floor(64 * x)) for x in v] for i, v in rows}
+    assert sorted((r.vec_id, r.score) for r in got) == [(i, sum(a * b for a, b in zip(q[0], q[i]))) for i in (1, 2, 3, 4)]
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_scores_beyond_64_bits_are_errors(spark, sign):
+    rows = [(7, [1e10, 0.0]), (20, [sign * 1e10, 0.0])]
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk_bits.top_inner_products(table(spark, rows), F.col("id") == 7).collect()
+    # Scores that are too low and not among the best don't matter.
+    assert topk_bits.top_inner_products(table(spark, [(7, [1e10, 0.0]), (20, [-1e10, 0.0]), (21, [0.0, 1.0])]), F.col("id") == 7, k=1).first()["vec_id"] == 21
+
+
+def test_every_row_of_a_repeated_id_takes_part(spark):
+    rows = [(2, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [5.0, 0.0]), (2, [0.5, 0.0])]
+    got = topk_bits.top_inner_products(table(spark, rows), F.col("id") == 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted([(2, 1, 1, 20480), (2, 2, 1, 4096), (2, 3, 2, 2048), (2, 1, 1, 10240), (2, 2, 1, 2048), (2, 3, 2, 2048)])
+    near = ann_tree.nearest_neighbours(table(spark, rows), F.col("id") == 1).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in near) == sorted(
+        [(1, 1, 2, 1.0), (1, 2, 2, 1.25**0.5), (1, 3, 1, 17**0.5), (1, 1, 2, 4.0), (1, 2, 1, 17**0.5), (1, 3, 2, 4.5)])
+
+
+def test_distances_of_any_finite_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [-1e200, 0.0]), (3, [1e-200, 0.0]), (4, [0.0, 3e-200]), (5, [1.0, 1.0]), (6, [1.7e308, 0.0]), (7, [-1.7e308, 0.0])] + [(10 + i, [1.0, i]) for i in range(40)]
+    got = ann_tree.nearest_neighbours(table(spark, rows), F.lit(True), k=60, leaf_rows=8).collect()
+    assert {(r.query_id, r.vec_id): r.score for r in got if r.query_id < 8 and r.vec_id < 8} == {
+        (i, j): (pytest.approx(np.hypot(*(np.array(v) - np.array(w))), rel=1e-12) if {i, j} != {6, 7} else np.inf) for i, v in rows[:7] for j, w in rows[:7] if i != j
+    }
