@@ -18,6 +18,7 @@ from flowprofile.functions.aggregates import per_feature
 from flowprofile.functions.columns import as_doubles, finite_or_null, number, numeric_columns, q, require_columns, skewness_sql, text
 from flowprofile.functions.quantiles import exact_quantiles, interpolate
 from flowprofile.functions.storage import materialize_at, new_path, remove
+from flowprofile.operators.distinct import distinct_rows, has_plain_columns
 
 # Fixed value: a spread below this counts as no spread.
 MIN_SPREAD = 10 * 2.220446049250313e-16
@@ -60,15 +61,15 @@ def fill_missing(df: DataFrame, features: Sequence[str], how: str) -> DataFrame:
 def deduplicate(df: DataFrame, features: Sequence[str] | None = None, label: str | None = None) -> DataFrame:
     """One row per distinct (features, label); the same features under two labels stay twice.
 
-    Copies are combined before the shuffle, so a row repeated any number of times leaves each task once. Of the other columns the copies'
+    Copies are combined before the shuffle, so a row repeated any number of times leaves each task a few times at most (see `distinct_rows`). Of the other columns the copies'
     smallest values are kept (as one row: they are compared in table order).
     """
     if features is None:
-        return df.dropDuplicates()
+        return distinct_rows(df) if has_plain_columns(df) else df.dropDuplicates()
     keys = [*features, *([label] if label and label in df.columns else [])]
     others = [c for c in df.columns if c not in keys]
     if not others:
-        return df.dropDuplicates()
+        return distinct_rows(df) if has_plain_columns(df) else df.dropDuplicates()
     grouped = df.groupBy(*[q(c) for c in keys])
     # A single kept column needs no struct, whose smallest one is found by sorting.
     kept = grouped.agg(F.min(q(others[0])).alias("_kept")) if len(others) == 1 else grouped.agg(F.min(F.struct(*[q(c) for c in others])).alias("_kept"))
@@ -80,6 +81,11 @@ def clean(df: DataFrame, features: Sequence[str], label: str | None = None, miss
     """±inf → missing, then drop or fill missing values, then drop duplicates."""
     if missing not in MISSING_STRATEGIES:
         raise ValueError(f"missing must be one of {MISSING_STRATEGIES}, not {missing!r}")
+    subset = [*features, *([label] if label and label in df.columns else [])]
+    if missing == "drop" and set(df.columns) == set(subset) and has_plain_columns(df):
+        # One pass over Arrow batches: tests of many columns in the JVM would repeat each column's expression and leave what it compiles.
+        numbers = df.selectExpr(*[f"cast({q(c)} as double) as {q(c)}" if c in features else q(c) for c in df.columns])
+        return distinct_rows(numbers, finite=features, complete=subset)
     finite = inf_to_null(df, features)
     complete = drop_missing(finite, features, label) if missing == "drop" else fill_missing(finite, features, missing)
     return deduplicate(complete, features, label)
