@@ -216,3 +216,33 @@ def test_given_starts_and_empty_clusters(spark):
     assert sorted(model.sizes)[0] == 1 and (100.0, 0.0) in model.centers
     with pytest.raises(ValueError, match="start centroids"):
         kmeans.train_kmeans(df, ["x", "y"], 2, init={2: [[0.0, 0.0]]})
+
+
+def test_rows_without_a_cluster_take_no_part(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(40, 2)), rng.normal(size=(40, 2)) + 6])
+    rows = [(float(a), float(b), int(i >= 40), None if i % 7 == 0 else int(i >= 40)) for i, (a, b) in enumerate(x)] + [(100.0, 100.0, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, whole int, part int")
+    got = {r["clustering"]: r["silhouette"] for r in evaluate.silhouette(df, ["a", "b"], ["whole", "part"]).collect()}
+    for name, column in (("whole", 2), ("part", 3)):
+        known = df.where(f"{name} is not null")
+        assert got[name] == pytest.approx(evaluate.silhouette(known, ["a", "b"], [name]).first()["silhouette"])
+        assert evaluate.calinski_harabasz(df, ["a", "b"], name).first()[0] == pytest.approx(evaluate.calinski_harabasz(known, ["a", "b"], name).first()[0])
+    assert evaluate.silhouette(df.where("whole is null"), ["a", "b"], ["whole"]).first()["silhouette"] is None
+
+
+def test_each_pair_of_blocks_is_measured_once(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(9)
+    x, c = rng.normal(size=(150, 3)), rng.integers(0, 3, 150)
+    df = spark.createDataFrame([(*map(float, v), int(k)) for v, k in zip(x, c)], "a double, b double, d double, cluster int").repartition(2)
+    gap = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
+    inner = np.array([gap[i, c == c[i]].sum() / ((c == c[i]).sum() - 1) for i in range(150)])
+    outer = np.array([min(gap[i, c == k].mean() for k in range(3) if k != c[i]) for i in range(150)])
+    assert evaluate.silhouette(df, ["a", "b", "d"]).first()["silhouette"] == pytest.approx(((outer - inner) / np.maximum(inner, outer)).mean())
+
+
+def test_all_models_label_in_one_pass(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (0.5, 0.5), (None, 1.0)], "a double, b double")
+    got = evaluate.with_labels(df, {"x": np.array([[0.0, 0.0], [1.0, 1.0]]), "y": np.array([[5.0, 5.0]])}).collect()
+    assert sorted((str(r["a"]), r["x"], r["y"]) for r in got) == [("0.0", 0, 0), ("0.5", 0, 0), ("1.0", 1, 0), ("None", None, None)]
