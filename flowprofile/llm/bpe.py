@@ -17,15 +17,15 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowprofile.llm.common import text_or_empty
+from flowprofile.llm.common import text_or_empty, text_udf
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 120_000
@@ -125,30 +125,26 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def encoder(vocabulary: tuple[str, str] | None = None):
+def encoder(vocabulary: tuple[str, str] | None = None) -> Callable[..., Column]:
     """Column function: text -> binary ids."""
     where = vocabulary or default_vocabulary()
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tool = codec(*where)
-        for texts in batches:
-            yield pd.Series([tool.encode(t) for t in texts], dtype=object)
+    def start() -> Callable[[list], pa.Array]:
+        encode = codec(*where).encode
+        return lambda texts: pa.array([encode(t) for t in texts], pa.binary())
 
-    return encode
+    return text_udf("binary", start)
 
 
-def decoder(vocabulary: tuple[str, str] | None = None):
+def decoder(vocabulary: tuple[str, str] | None = None) -> Callable[..., Column]:
     """Column function: binary ids -> the bytes they stand for."""
     where = vocabulary or default_vocabulary()
 
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tool = codec(*where)
-        for ids in batches:
-            yield pd.Series([tool.decode(i) for i in ids], dtype=object)
+    def start() -> Callable[[list], pa.Array]:
+        decode = codec(*where).decode
+        return lambda ids: pa.array([decode(i) for i in ids], pa.binary())
 
-    return decode
+    return text_udf("binary", start)
 
 
 def encode_documents(
@@ -201,19 +197,23 @@ def encode_words(words: DataFrame, *, word: str = "word", vocabulary: tuple[str,
 def round_trip(documents: DataFrame, *, text: str = "text", keep: Sequence[str] = ("doc_id",), vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Encode, decode the ids again, and give the digests of both: `keep`, n_tokens, ids_sha256, decoded_sha256, and the ids.
 
-    Both directions run in one pass over the Arrow batches of a task, so the ids never travel in between.
+    Both directions run in one pass over slices of a task's Arrow batches, so the ids never travel in between.
     """
     where = vocabulary or default_vocabulary()
 
-    @F.pandas_udf("ids binary, ids_sha256 string, decoded_sha256 string")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], pa.Array]:
         tool = codec(*where)
-        for texts in batches:
+
+        def both_ways(texts: list) -> pa.Array:
             ids = [tool.encode(t) for t in texts]
-            yield pd.DataFrame({
-                "ids": pd.Series(ids, dtype=object), "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                "decoded_sha256": [hashlib.sha256(tool.decode(i)).hexdigest() for i in ids],
-            })
+            columns = [
+                pa.array(ids, pa.binary()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                pa.array([hashlib.sha256(tool.decode(i)).hexdigest() for i in ids], pa.string()),
+            ]
+            return pa.StructArray.from_arrays(columns, ["ids", "ids_sha256", "decoded_sha256"])
+
+        return both_ways
 
+    both = text_udf("ids binary, ids_sha256 string, decoded_sha256 string", start)
     rows = documents.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), both(text_or_empty(text)).alias("_b"))
     return rows.select("_row.*", F.expr("bigint(length(_b.ids) div 4)").alias("n_tokens"), "_b.ids_sha256", "_b.decoded_sha256", "_b.ids")

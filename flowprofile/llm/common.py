@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowprofile.functions.storage import materialize, new_path
 
-__all__ = ["WORD", "byte_slices", "materialize", "new_path", "read", "small", "text_or_empty"]
+__all__ = ["WORD", "byte_slices", "materialize", "new_path", "read", "small", "text_or_empty", "text_udf"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,3 +47,18 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLI
             stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+
+
+def text_udf(returns: str, start: Callable[[], Callable[[list], pa.Array]]) -> Callable[..., Column]:
+    """Column function over strings or binary values that never holds more than a slice of a batch as Python values.
+
+    `start` runs once per task and gives the function from the values of a slice to their results.
+    """
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = start()
+        for array in arrays:
+            parts = [work(part.column(0).to_pylist()) for part in byte_slices(iter([pa.RecordBatch.from_arrays([array], ["v"])]), 0)]
+            yield pa.concat_arrays(parts or [work([])])
+
+    return F.arrow_udf(run, returns)

@@ -9,12 +9,12 @@
    often as the quota allows, and the rest is a run of blocks that begins at a seeded block. A document's words taken are its
    overlap with that: at most `max_epochs` times its size.
 
-Scale: one pass counts words, and (source, words, hash, kept columns) is written once. A source is cut into shards of about
+Scale: one pass counts words, and (row number, source, words, hashes, kept columns) is written once; the windows carry numbers only. A source is cut into shards of about
 `SHARD_DOCS` documents (at most `MAX_SHARDS`), so a source that holds a third of all rows becomes many window groups; windows spill, nothing is gathered in
 Python. The driver gets one row per source; a task of the quota step gets the shards of one source, at most `MAX_SHARDS` rows.
 
-Null and empty texts have size 0 and none of their words can be taken. Rows that are alike share the words of their places in
-the ring; which of two identical rows stands first does not matter. An empty table gives no rows. Seed and data fix the result.
+Null and empty texts have size 0 and none of their words can be taken. Rows of one id and text stand in the order of a hash of their kept columns; only rows that are
+alike in all of those are interchangeable. An empty table gives no rows. Seed and data fix the result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from flowprofile.llm.common import WORD, materialize, text_or_empty
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SHARD_DOCS = 4096
-MAX_SHARDS = 1024
+MAX_SHARDS = 65_536
 MAX_BLOCK = 1024
 BLOCKS_PER_SOURCE = 1000
 #: The table of sources is broadcast up to this many rows, and joined by a shuffle beyond.
@@ -108,10 +108,11 @@ def mix(
     Other columns are dropped, whatever their names; the kept ones stay apart inside `row`.
     """
     spark = documents.sparkSession
-    sized = materialize(documents.select(
-        F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("order"),
+    written = materialize(documents.select(
+        F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("order"), F.xxhash64(*[F.col(c) for c in keep]).alias("tie"),
     ), "sized")
+    sized = written.drop("row")  # the kept columns, texts among them, meet the mix at its end
 
     # One row per source.
     found = sized.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("words")).toPandas()
@@ -132,7 +133,7 @@ def mix(
     if len(place) <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
-        "row", "size", "order", "sid", "source_size", "target", "blocks", F.expr("int(pmod(xxhash64(order), shards))").alias("shard")
+        "uid", "size", "order", "tie", "sid", "source_size", "target", "blocks", F.expr("int(pmod(xxhash64(order), shards))").alias("shard")
     )
 
     def deal(shards: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +146,7 @@ def mix(
     shard_words = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
     dealt = materialize(shard_words.groupBy("sid").applyInPandas(deal, "sid int, shard int, shard_words long, quota long"), "quotas")
 
-    ring = Window.partitionBy("sid", "shard").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ring = Window.partitionBy("sid", "shard").orderBy("order", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stood = placed.select("*", F.sum("size").over(ring).alias("stop"))
     words = F.col("quota") * block
     begin = F.expr(f"pmod(xxhash64({seed}L, sid, shard), greatest(1L, shard_words div {block})) * {block}")
@@ -153,16 +154,18 @@ def mix(
     def overlap(start: Column, stop: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("stop"), stop) - F.greatest(F.col("stop") - F.col("size"), start))
 
-    return (
+    taken = (
         stood.join(dealt, ["sid", "shard"])
         .withColumn("rounds", F.when(F.col("shard_words") > 0, F.floor(words / F.col("shard_words"))).otherwise(0).cast("long"))
         .withColumn("rest", words - F.col("rounds") * F.col("shard_words")).withColumn("begin", begin)
         .select(
-            "row", "size", "source_size", "target",
+            "uid", "size", "source_size", "target",
             (F.col("rounds") * F.col("size") + overlap(F.col("begin"), F.col("begin") + F.col("rest"))
              + overlap(F.lit(0), F.col("begin") + F.col("rest") - F.col("shard_words"))).cast("long").alias("taken"),
         )
     )
+    # The numbers are hashed, so the texts pass their shuffle without being sorted.
+    return written.select("uid", "row").join(taken.hint("shuffle_hash"), "uid").select("row", "size", "source_size", "target", "taken")
 
 
 def apply_mix(mixed: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowprofile.llm.common import materialize, text_or_empty
+from flowprofile.llm.common import materialize, small, text_or_empty, text_udf
 from flowprofile.llm.components import components
 
 SEED = 42
@@ -52,8 +52,6 @@ LANES, BANDS, BAND_LANES = 128, 12, 4
 MARGIN = 0.12
 #: Texts of a family that one tree may hold, as their shingle sets are held with them.
 FAMILY_ROWS = 1024
-#: Tables of ids are broadcast up to this many rows, and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -93,12 +91,10 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(text: str | Column = "text", words_per_shingle: int = SHINGLE) -> Column:
     """Column of signed 64-bit fingerprints."""
 
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([fingerprint(shingle_hashes(t, words_per_shingle)) for t in texts], dtype="int64")
+    def start() -> Callable[[list], pa.Array]:
+        return lambda texts: pa.array([fingerprint(shingle_hashes(t, words_per_shingle)) for t in texts], pa.int64())
 
-    return of(text_or_empty(text))
+    return text_udf("long", start)(text_or_empty(text))
 
 
 def as_hex(value: str | Column) -> Column:
@@ -331,27 +327,25 @@ def signature(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> n
     return low
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """The table, marked for broadcast if it has few rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def _sketched(documents: DataFrame, text: str, key: str, keep: Sequence[str], words_per_shingle: int) -> DataFrame:
     """row, text, doc_id, uid, fp, sig and bands of every document, written once; that fixes the row numbers uid."""
-    factors, offsets = lane_factors()
+    def start() -> Callable[[list], pa.Array]:
+        factors, offsets = lane_factors()
 
-    @F.pandas_udf("fp long, sig binary, bands array<long>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
+        def sketch_of(texts: list) -> pa.Array:
+            fps, sigs, bands = [], [], []
             for t in texts:
                 hashes = np.unique(shingle_hashes(t, words_per_shingle))
                 low = signature(hashes, factors, offsets)
-                bands = low[: BANDS * BAND_LANES].reshape(BANDS, BAND_LANES)
-                keys = [int.from_bytes(xxhash.xxh64_digest(b.tobytes(), i), "big", signed=True) for i, b in enumerate(bands)]
-                rows.append((fingerprint(hashes), (low & np.uint32(0xFFFF)).astype("<u2").tobytes(), keys))
-            yield pd.DataFrame(rows, columns=["fp", "sig", "bands"])
+                fps.append(fingerprint(hashes))
+                sigs.append((low & np.uint32(0xFFFF)).astype("<u2").tobytes())
+                parts = low[: BANDS * BAND_LANES].reshape(BANDS, BAND_LANES)
+                bands.append([int.from_bytes(xxhash.xxh64_digest(b.tobytes(), i), "big", signed=True) for i, b in enumerate(parts)])
+            return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "sig", "bands"])
+
+        return sketch_of
 
+    sketch = text_udf("fp long, sig binary, bands array<long>", start)
     others = [c for c in keep if c != text]
     return materialize(
         documents.select(
@@ -373,11 +367,11 @@ def _groups(marked: DataFrame, words_per_shingle: int, similarity: float, radius
     members = keyed.join(shared, ["t", "key"], "left_semi").join(classes.select("node", "fp", "sig"), "node").select("t", "key", "node", "fp", "sig")
     families = materialize(components(shard_links(members, radius, "lanes", similarity - MARGIN)).select("node", F.col("label").alias("key")), "families")
 
-    @F.pandas_udf("binary")
-    def shingle_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words_per_shingle).astype("<u8")).tobytes() for t in texts], dtype=object)
+    def start() -> Callable[[list], pa.Array]:
+        return lambda texts: pa.array([np.unique(shingle_hashes(t, words_per_shingle).astype("<u8")).tobytes() for t in texts], pa.binary())
 
-    texts = marked.join(_small(families.withColumnRenamed("node", "uid")), "uid").select(
+    shingle_set = text_udf("binary", start)
+    texts = marked.join(small(families.withColumnRenamed("node", "uid")), "uid").select(
         F.lit(0).alias("t"), "key", F.col("uid").alias("node"), "fp", shingle_set(text_or_empty("text")).alias("sig")
     )
     linked = components(shard_links(texts, radius, "sets", similarity, FAMILY_ROWS))
@@ -408,5 +402,5 @@ def drop_near_duplicates(
     """The documents that stay, with their columns; groups as in `near_groups`."""
     marked = _sketched(documents, text, key, documents.columns, words_per_shingle)
     gone = materialize(_groups(marked, words_per_shingle, similarity, radius).where("uid != group.uid").select("uid"), "dropped")
-    kept = marked.select("row", "text", "uid").join(_small(gone), "uid", "left_anti")
+    kept = marked.select("row", "text", "uid").join(small(gone), "uid", "left_anti")
     return kept.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns])

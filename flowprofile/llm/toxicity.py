@@ -10,7 +10,8 @@ counts them; the driver holds the chosen features (`FEATURES`) and the sample's
 text whole in one narrow pass with the fitted weights (bounded by `FEATURES`), with no shuffle.
 
 Null and empty texts have no features: their score is that of the intercept. Without labelled rows every score is 0; with labels of one kind only, it
-is their share. Rows with a null label or id are not learned from. Labels of one id that differ count as their largest.
+is their share. Rows with a null label or id are not learned from. Labels of one id that differ count as their largest; of texts that share an id one is learned from,
+that of the smallest hash. All rows are scored.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowprofile.llm.common import materialize, text_or_empty
+from flowprofile.llm.common import materialize, text_or_empty, text_udf
 
 SAMPLE = 8000
 FEATURES = 4096
@@ -226,9 +228,12 @@ def fit_toxicity(
                     "pairs": [[{"gone": sorted(a), "come": sorted(b)} for a, b in counterfactuals(t, swap)] for t in part["_text"]],
                 })
 
-    # At most `sample` ids are broadcast; a table of ids bounded by a parameter. Being written fixes the row numbers.
+    # At most `sample` ids are broadcast; a table of ids bounded by a parameter. Of rows that share an id the text of smallest hash stands for all, combined in
+    # the tasks first, so that the sample has `sample` rows at most. Being written fixes the row numbers.
+    labelled = documents.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    first = labelled.groupBy("_key").agg(F.first("_label").alias("_label"), F.min(F.struct(F.xxhash64("_text"), "_text")).alias("_first"))
     rows = materialize(
-        documents.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(chosen), "_key").select("_label", "_text")
+        first.select("_label", F.col("_first._text").alias("_text"))
         .mapInPandas(extract, "label int, words long, features array<string>, counts array<int>, pairs array<struct<gone:array<string>,come:array<string>>>")
         .withColumn("row", F.monotonically_increasing_id()), "toxicity-sample",
     )
@@ -280,13 +285,11 @@ def fit_toxicity(
 def scores(model: ToxicityModel, text: str | Column = "text") -> Column:
     """Column of scores from 0 to 1."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start() -> Callable[[list], pa.Array]:
         scorer = Scorer(model)
-        for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        return lambda texts: pa.array([scorer.score(t) for t in texts], pa.float64())
 
-    return score(text_or_empty(text))
+    return text_udf("double", start)(text_or_empty(text))
 
 
 def learned_from(key: str = "doc_id") -> Column:
