@@ -68,18 +68,24 @@ def format_conversations(conversations: DataFrame, *, conv_id: str = "conv_id",
             t.alias("text"), (b["role"] == ASSISTANT).alias("loss"),
         ),
     )))
-    # Running position of each piece, as one aggregation over the array.
-    counted = F.aggregate(
-        "pieces", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,chars:bigint>>").alias("spans")),
+    # Running position of each piece, in stretches of about the root of their number: arrays grow within a stretch, so a long conversation copies little.
+    lengths = F.transform("pieces", lambda p: F.struct(F.length(p["before"]).cast("long").alias("before"), F.length(p["text"]).cast("long").alias("chars"), p["loss"].alias("loss")))
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("lengths"))).cast("int"))
+    stretches = F.transform(F.sequence(F.lit(0), F.size("lengths") - 1, step), lambda at: F.slice("lengths", at + 1, step))
+    sizes = F.transform("stretches", lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda total, p: total + p["before"] + p["chars"]))
+    offsets = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda found, s: F.concat(found, F.array(F.element_at(found, -1) + s)))
+    empty = F.array().cast("array<struct<start:bigint,chars:bigint>>")
+    counted = F.flatten(F.transform("stretches", lambda s, i: F.aggregate(
+        s, F.struct(F.get("offsets", i).alias("at"), empty.alias("spans")),
         lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["before"]) + F.length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + F.length(p["before"])).alias("start"), F.length(p["text"]).cast("long").alias("chars"))))).otherwise(acc["spans"]).alias("spans"),
+            (acc["at"] + p["before"] + p["chars"]).alias("at"),
+            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["before"]).alias("start"), p["chars"].alias("chars"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
-    )
+    )))
     return (
         gathered.withColumn("starts", starts).withColumn("ends", ends).withColumn("blocks", blocks).withColumn("pieces", pieces)
+        .withColumn("lengths", lengths).withColumn("stretches", stretches).withColumn("offsets", offsets)
         .select(
             "conv_id",
             F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"])), ""), F.lit(END)).alias("formatted"),

@@ -95,3 +95,10 @@ def test_formatting_uses_spark_expressions_only(spark):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.format_conversations(df))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan.replace("Scan ExistingRDD", ""))
+
+
+def test_long_conversations_are_masked_in_order(spark):
+    rows = [(1, t, ["user", "assistant"][t % 2], f"text {t} é&<[" * (t % 4)) for t in range(3001)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(table).select("loss_mask", chat.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")).first()
+    assert got["loss"] == "".join(text for _, _, role, text in rows if role == "assistant") and len(got["loss_mask"]) == 1500
