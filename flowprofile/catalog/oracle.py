@@ -500,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
     out["customer_balances"] = f"SELECT c_custkey, {r('ln(1 + c_acctbal + low)')} AS c_acctbal FROM customer, (SELECT greatest(-min(c_acctbal), 0) AS low FROM customer) m"
 
     # scoring
-    out["score_flows"] = out["score_stream"] = (
+    out["score_flows"] = out["score_stream"] = out["score_stream_bundle"] = (
         f"SELECT flow_id, cluster, {r('nearest')} AS nearest_distance, " + ", ".join(f"{r(f'd{k}')} AS distance_{k}" for k in range(7)) + " FROM newd")
     ranking = " UNION ALL ".join(f"SELECT line, flow_id, {k} AS cluster, d{k} AS d FROM (SELECT row_number() OVER () AS line, * FROM newd) n" for k in range(7))
     out["distance_ranking"] = (

@@ -17,7 +17,7 @@ from flowprofile.plans import profile_clusters
 from flowprofile.plans.profiling import assign_cleaned
 from flowprofile.sources import load_flows, separate_labels, write_sample
 from flowprofile.sources.bundle import load_bundle, save_bundle
-from flowprofile.streaming import score_stream, write_scores
+from flowprofile.streaming import score_stream, score_with_bundle, write_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = list(DEFAULT_FEATURES)
@@ -603,6 +603,15 @@ def score_stream_query(spark, sf_dir):
     return _score_rows(spark.read.schema(scored.schema).parquet(write_scores(scored)))
 
 
+@register
+def score_stream_bundle(spark, sf_dir):
+    """The stream scored by the newest version of a bundle, read anew for each micro-batch."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
+    stream = spark.readStream.schema(lineitem).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    scored = spark.read.parquet(score_with_bundle(flows_from(stream, with_id=True), _bundle(spark, sf_dir)))
+    return _score_rows(scored.where("model_version is not null"))
+
+
 # ---- the same operators on other tables: five strata, a skewness near its threshold, a negative minimum
 
 @register

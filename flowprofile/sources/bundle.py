@@ -20,6 +20,7 @@ class Bundle:
     model: KMeansModel
     preprocessor: FittedPreprocessor | None
     metadata: dict[str, Any]
+    version: str = ""
 
 
 def save_bundle(spark: SparkSession, path: str, model: KMeansModel, preprocessor: FittedPreprocessor | None = None, metadata: dict | None = None) -> str:
@@ -40,11 +41,12 @@ def save_bundle(spark: SparkSession, path: str, model: KMeansModel, preprocessor
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     """The newest complete version written by `save_bundle`."""
-    folder = f"{path}/{spark.read.parquet(f'{path}/versions').agg(F.max('version')).first()[0]}"
+    version = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    folder = f"{path}/{version}"
     about = spark.read.parquet(f"{folder}/metadata").first()
     rows = spark.read.parquet(f"{folder}/centroids").orderBy("cluster").collect()
     model = KMeansModel(
         about["k"], tuple(about["features"]), tuple(tuple(r["center"]) for r in rows), tuple(r["size"] for r in rows),
         about["inertia"], about["n_iter"])
     preprocessor = FittedPreprocessor.from_table(spark.read.parquet(f"{folder}/parameters"))
-    return Bundle(model, preprocessor if preprocessor.parameters else None, json.loads(about["metadata"]))
+    return Bundle(model, preprocessor if preprocessor.parameters else None, json.loads(about["metadata"]), version)
