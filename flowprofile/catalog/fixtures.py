@@ -53,6 +53,8 @@ _part = "CAST(split_part(flow_id, '-', {}) AS BIGINT)".format
 RANK_SQL = (
     f"(({_part(1)} * 8 + {_part(2)}) % 2147483647 * 48271 + {_part(3)} % 2147483647 * 16807 + {_part(4)} % 2147483647 * 69621) % 2147483647"
 )
+# Order in which embeddings are sampled: a permutation of the ids.
+EMBEDDING_RANK_SQL = "vec_id % 2147483647 * 48271 % 2147483647"
 
 
 def flows_from(lineitem: DataFrame, with_id: bool = False) -> DataFrame:

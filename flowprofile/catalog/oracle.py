@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from flowprofile.catalog.fixtures import BASE_COLUMNS, CLUSTER_SQL, COPIES_SQL, FEATURE_SQL, ID_SQL, LABEL_SQL, RANK_SQL, rounding
+from flowprofile.catalog.fixtures import BASE_COLUMNS, CLUSTER_SQL, COPIES_SQL, EMBEDDING_RANK_SQL, FEATURE_SQL, ID_SQL, LABEL_SQL, RANK_SQL, rounding
 from flowprofile.config import DEFAULT_FEATURES, EVALUATION_ROWS, LABEL_COLUMN
 
 D = range(len(DEFAULT_FEATURES))
@@ -307,7 +307,7 @@ def _trained(k: int) -> str:
 _EMB = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(DIMENSIONS))
 _SQ = "pow(list_distance({a}, {b}), 2)"
 CTES += [
-    ("emb", f"SELECT vec_id, label, [{_EMB}] AS v FROM embeddings"),
+    ("emb", f"SELECT vec_id, label, [{_EMB}] AS v FROM embeddings ORDER BY {EMBEDDING_RANK_SQL} LIMIT {EVALUATION_ROWS}"),
     ("epair", "SELECT a.vec_id AS i, a.label AS la, b.label AS lb, count(*) AS n, sum(list_distance(a.v, b.v)) AS d "
               "FROM emb a JOIN emb b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label"),
     ("ek", f"SELECT unnest([{', '.join(map(str, KS))}]) AS k"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowprofile.catalog.fixtures import RANK_SQL, embedding_columns, flows, flows_from, given_cluster, rounding
+from flowprofile.catalog.fixtures import EMBEDDING_RANK_SQL, RANK_SQL, embedding_columns, flows, flows_from, given_cluster, rounding
 from flowprofile.config import DEFAULT_FEATURES, EVALUATION_ROWS, LABEL_COLUMN, PipelineConfig
 from flowprofile.functions.columns import q
 from flowprofile.functions.storage import new_path
@@ -118,12 +118,12 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusterings `label % k` of the embeddings, compared for k = 2..8."""
+    """Clusterings `label % k` of the embeddings, compared for k = 2..8 on one sample, as `evaluate_k` does."""
     return once("embedding_metrics", spark, sf_dir, lambda: _embedding_metrics(spark, sf_dir))
 
 
 def _embedding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = embedding_columns(spark, sf_dir)
+    table = sampling.uniform_sample(embedding_columns(spark, sf_dir), EVALUATION_ROWS, rank=EMBEDDING_RANK_SQL)
     names = [c for c in table.columns if c.startswith("e")]
     labelled = table.selectExpr("*", *[f"label % {k} as c{k}" for k in EMBEDDING_KS])
     return evaluate.compare_clusterings(labelled, names, {k: f"c{k}" for k in EMBEDDING_KS})

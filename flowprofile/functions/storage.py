@@ -14,9 +14,14 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by `spark.checkpoint.dir`, or else one below the session's warehouse; the same in every mode."""
+    """Folder named by `spark.checkpoint.dir`, or else one below the session's warehouse, which on a cluster must not be a folder of one machine."""
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_flowprofile"
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("/", "file:")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {_KEY} to a folder that all executors reach; the warehouse is {warehouse}")
+    return f"{warehouse}/_flowprofile"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
