@@ -36,7 +36,7 @@ UNKNOWN = "und"
 #: Words of one part of the dictionary.
 DICTIONARY_WORDS = 400_000
 #: Phrases of one trie.
-TRIE_PHRASES = 250_000
+TRIE_PHRASES = 100_000
 #: Counters of the screen at most, a power of two; fewer words need fewer.
 CELLS = 1 << 22
 #: Distinct words a task counts before it passes them on.
