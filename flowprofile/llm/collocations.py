@@ -5,9 +5,9 @@ Texts are cut at `.,;:!?` and line ends into pieces, and those at blanks and tab
 1. Words are counted per language, combined in the tasks first. Words below `min_count` can be in no candidate; the others get a number.
 2. Texts are written once as arrays of numbers, zero for any other word and for the end of a piece.
 3. Level by level, from two words on, a phrase can be a candidate only if both of its shorter parts are (Apriori). Positions where that holds
-   are hashed to `CELLS` counters, capped at `min_count` and added over all tasks; a phrase whose counter stays below cannot be frequent. The phrases left, a
+   are hashed to two rows of `CELLS` counters, capped at `min_count` and added over all tasks; a phrase with a counter that stays below cannot be frequent. The phrases left, a
    superset of the frequent ones, are the level's tries: double-array tries of at most about `TRIE_PHRASES` phrases, each broadcast in turn. All positions of a text
-   walk a trie together, states that accept are counted by `bincount`, and the counts of all tasks and tries are added.
+   walk a trie together, states that accept are counted by `bincount`, and the tasks' arrays of counts are added.
 4. Scores, cuts and the removal of phrases that only occur inside longer ones are joins of the table of frequent phrases.
 
 Everything broadcast has a bound by parameter: dictionary parts, counters (as bits), tries. More words or phrases mean more rounds over the number arrays, never a larger
@@ -37,8 +37,9 @@ UNKNOWN = "und"
 DICTIONARY_WORDS = 400_000
 #: Phrases of one trie.
 TRIE_PHRASES = 100_000
-#: Counters of the screen at most, a power of two; fewer words need fewer.
+#: Counters of a row of the screen at most, a power of two; fewer words need fewer.
 CELLS = 1 << 22
+SCREEN_ROWS = 2
 #: Distinct words a task counts before it passes them on.
 COUNTED_WORDS = 200_000
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
@@ -133,14 +134,15 @@ def number_arrays(documents: DataFrame, words: DataFrame, total: int, dictionary
 # ---------------------------------------------------------------- screen
 
 
-def cells_of(codes: np.ndarray, length: int, cells: int) -> np.ndarray:
-    """Counter of the phrase of `length` words at each position that has so many behind it."""
+def cells_of(codes: np.ndarray, length: int, cells: int) -> list[np.ndarray]:
+    """Counters, one in each row, of the phrase of `length` words at each position that has so many behind it."""
     n = max(0, len(codes) - length + 1)
     value = np.zeros(n, np.uint64)
     for i in range(length):
         value = value * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n].astype(np.uint64)
         value ^= value >> np.uint64(29)
-    return (value * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(65 - int(cells).bit_length())).astype(np.int64)
+    shift = np.uint64(65 - int(cells).bit_length())
+    return [(value * np.uint64(factor) >> shift).astype(np.int64) + row * cells for row, factor in enumerate((0xBF58476D1CE4E5B9, 0x94D049BB133111EB))]
 
 
 def possible(codes: np.ndarray, length: int, shorter: np.ndarray | None, cells: int) -> np.ndarray:
@@ -150,7 +152,7 @@ def possible(codes: np.ndarray, length: int, shorter: np.ndarray | None, cells:
         fine = (codes[:n] > 0) & (codes[1 : n + 1] > 0)
     else:
         known = (codes > 0)[: n + length - 1]
-        part = shorter[cells_of(codes, length - 1, cells)][: n + 1]
+        part = np.logical_and.reduce([shorter[c] for c in cells_of(codes, length - 1, cells)])[: n + 1]
         fine = part[:n] & part[1 : n + 1]
         for i in range(length):
             fine &= known[i : i + n]
@@ -188,7 +190,7 @@ def screen(parts: DataFrame, threshold: int, cells: int) -> np.ndarray:
                     if at is not None:
                         yield row()
                     at, total = block, np.zeros(min(_BLOCK, cells), np.int64)
-                total += np.frombuffer(counts.as_buffer(), np.uint32)
+                total += np.frombuffer(counts.as_buffer(), np.uint16 if len(counts.as_buffer()) == 2 * len(total) else np.uint32)
         if at is not None:
             yield row()
 
@@ -226,23 +228,25 @@ def frequent_phrases(codes: DataFrame, length: int, shorter: np.ndarray | None,
     sent_shorter = None if shorter is None else spark.sparkContext.broadcast(shorter)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        bits = None if sent_shorter is None else _bits(sent_shorter.value, cells)
+        bits = None if sent_shorter is None else _bits(sent_shorter.value, SCREEN_ROWS * cells)
         for array in _arrays(batches):
             yield array, possible(array, length, bits, cells)
 
     def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(cells, np.uint32)
+        table = np.zeros(SCREEN_ROWS * cells, np.uint16 if min_count < 1 << 16 else np.uint32)
         for array, places in passing(batches):
-            cell, n = np.unique(cells_of(array, length, cells)[places], return_counts=True)
-            table[cell] = np.minimum(table[cell] + n, min_count)
+            for cells_ in cells_of(array, length, cells):
+                cell, n = np.unique(cells_[places], return_counts=True)
+                table[cell] = np.minimum(table[cell] + n, min_count)
         yield from counter_blocks(table)
 
-    sent = spark.sparkContext.broadcast(screen(codes.mapInArrow(count_cells, "block long, counts binary"), min_count, cells))
+    sent = spark.sparkContext.broadcast(screen(codes.mapInArrow(count_cells, "block long, counts binary"), min_count, SCREEN_ROWS * cells))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _bits(sent.value, cells)
+        bits = _bits(sent.value, SCREEN_ROWS * cells)
         for array, places in passing(batches):
-            places = places[bits[cells_of(array, length, cells)[places]]]
+            for cells_ in cells_of(array, length, cells):
+                places = places[bits[cells_[places]]]
             if len(places):
                 yield _rows(_distinct(array[places[:, None] + np.arange(length)]))
 
@@ -260,28 +264,59 @@ def frequent_phrases(codes: DataFrame, length: int, shorter: np.ndarray | None,
             counts = np.zeros(len(trie.value.check), np.int64)
             for array in _arrays(batches):
                 trie.value.count(array, counts)
-            states = np.flatnonzero(counts)
-            for at in range(0, len(states), 1 << 16):
-                some = states[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([_rows(trie.value.phrases[trie.value.row[some]]).column(0), pa.array(counts[some])], ["phrase", "n"])
+            yield from counts_of_rows(trie.value, counts)
 
-        counted = codes.mapInArrow(walk, "phrase binary, n long").groupBy("phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+        def total(batches: Iterator[pa.RecordBatch], trie=trie) -> Iterator[pa.RecordBatch]:
+            yield from frequent_rows(trie.value, batches, min_count)
+
+        counted = codes.mapInArrow(walk, "block long, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(total, "phrase binary, a long")
         parts.append(materialize(counted, f"frequent-{length}-{i}"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "phrase binary, a long")
 
 
+def counts_of_rows(trie: DoubleArrayTrie, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counts of the trie's phrases, in their order, in blocks."""
+    states = np.flatnonzero(counts)
+    rows = np.zeros(len(trie.phrases), np.int64)
+    rows[trie.row[states]] = counts[states]
+    for at in range(0, len(rows), _BLOCK):
+        yield pa.RecordBatch.from_arrays([pa.array([at // _BLOCK], pa.int64()), pa.array([rows[at : at + _BLOCK].tobytes()], pa.binary())], ["block", "counts"])
+
+
+def frequent_rows(trie: DoubleArrayTrie, batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """(phrase, a) of the phrases that reach the count, from blocks in order."""
+
+    def rows(block: int, total: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(total >= min_count)
+        return pa.RecordBatch.from_arrays([_rows(trie.phrases[block * _BLOCK + some]).column(0), pa.array(total[some])], ["phrase", "a"])
+
+    at, total = None, None
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            here = np.frombuffer(counts.as_buffer(), np.int64)
+            if block == at:
+                total = total + here
+                continue
+            if at is not None:
+                yield rows(at, total)
+            at, total = block, here
+    if at is not None:
+        yield rows(at, total)
+
+
 def screen_of(phrases: DataFrame, length: int, cells: int) -> np.ndarray:
     """Bits of the counters that the phrases have."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(cells, np.uint32)
+        table = np.zeros(SCREEN_ROWS * cells, np.uint16)
         for batch in batches:
             if batch.num_rows:
                 matrix = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i4").astype(np.int32)
-                table[cells_of(matrix, length, cells)[::length]] = 1
+                for cells_ in cells_of(matrix, length, cells):
+                    table[cells_[::length]] = 1
         yield from counter_blocks(table)
 
-    return screen(phrases.select("phrase").mapInArrow(mark, "block long, counts binary"), 1, cells)
+    return screen(phrases.select("phrase").mapInArrow(mark, "block long, counts binary"), 1, SCREEN_ROWS * cells)
 
 
 # ---------------------------------------------------------------- scores
