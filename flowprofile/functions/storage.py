@@ -7,6 +7,9 @@ then costs one re-read of its splits, never a re-run of the shuffles before.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/_flowprofile"
 
 
+#: Tables named since the innermost `scratch` began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/flowprofile-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/flowprofile-{uuid.uuid4().hex}/{name}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end whatever is written within; for steps whose result is collected or written elsewhere by then."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
