@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowprofile.functions.storage import materialize_at, new_path, scratch
 from flowprofile.llm import bpe, mixing, simhash, toxicity
 from flowprofile.llm.common import materialize, read
 
@@ -42,8 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    """All stages over the whole of `documents`; what they write on the way is removed once the result is written."""
+    result = new_path(spark, STAGES[-1][0])
+    with scratch(spark):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        return materialize_at(STAGES[-1][1](spark, docs, sf_dir), result)
