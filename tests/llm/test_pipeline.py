@@ -1,6 +1,7 @@
 """Corpus pipeline: each stage on its own input, and the whole over the small tables."""
 
 import hashlib
+import pathlib
 import re
 import struct
 import zlib
@@ -9,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
+from flowprofile.functions.storage import shared_folder
 from flowprofile.llm import bpe, simhash
 from flowprofile.llm.common import materialize
 
@@ -115,7 +117,10 @@ def test_stages_take_odd_tables(spark, tmp_path):
 
 
 def test_run_returns_the_last_stage(spark, inputs):
+    tables = lambda: {str(p) for p in pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("flowprofile-*/*")}
+    before = tables()
     got = corpus_pipeline.run(spark, FOLDER)
+    assert [pathlib.Path(p).name for p in tables() - before] == ["encode"]  # what the stages wrote on the way is gone
     assert sorted(got.columns) == sorted(inputs[4].columns)
     digest = lambda df: sorted(map(tuple, df.select("doc_id", "ids_sha256").collect()))
     assert digest(got) == digest(inputs[4])
