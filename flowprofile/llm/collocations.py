@@ -43,6 +43,8 @@ SCREEN_ROWS = 2
 #: Distinct words a task counts before it passes them on.
 COUNTED_WORDS = 200_000
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
+#: Candidates that a task gathers, so that it names each once, before it passes them on.
+HELD_PHRASES = 1 << 20
 _BLOCK = 1 << 14
 _SLICE = 8 << 20
 
@@ -244,11 +246,19 @@ def frequent_phrases(codes: DataFrame, length: int, shorter: np.ndarray | None,
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _bits(sent.value, SCREEN_ROWS * cells)
+        held, size = [np.empty((0, length), np.int32)], 0  # phrases met so far in this task
         for array, places in passing(batches):
             for cells_ in cells_of(array, length, cells):
                 places = places[bits[cells_[places]]]
-            if len(places):
-                yield _rows(_distinct(array[places[:, None] + np.arange(length)]))
+            held.append(_distinct(array[places[:, None] + np.arange(length)]))
+            size += len(held[-1])
+            if size > HELD_PHRASES:
+                held = [_distinct(np.concatenate(held))]
+                size = len(held[0])
+                if size > HELD_PHRASES // 2:
+                    yield _rows(held[0])
+                    held, size = [held[0][:0]], 0
+        yield _rows(_distinct(np.concatenate(held)))
 
     candidates = materialize(codes.mapInArrow(find, "phrase binary").distinct(), f"candidates-{length}")
     tries = max(1, -(-candidates.count() // trie_phrases))
