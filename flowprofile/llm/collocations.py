@@ -224,6 +224,17 @@ def _distinct(matrix: np.ndarray) -> np.ndarray:
     return matrix[np.unique(key, return_index=True)[1]]
 
 
+def _bucketed(phrases: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The phrases as one array per bucket of their hash."""
+    bucket = cells_of(np.ascontiguousarray(phrases).reshape(-1), phrases.shape[1], buckets)[0][:: phrases.shape[1]]
+    order = np.argsort(bucket, kind="stable")
+    bucket, phrases = bucket[order], phrases[order].astype(np.int32)
+    cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]]))
+    ends = [*cuts[1:].tolist(), len(bucket)][: len(cuts)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cuts], pa.int64()), pa.array([phrases[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)], pa.binary())], ["bucket", "phrases"])
+
+
 def frequent_phrases(codes: DataFrame, length: int, shorter: np.ndarray | None, min_count: int, cells: int, trie_phrases: int) -> DataFrame:
     """(phrase, a) of the phrases of `length` words with at least `min_count` occurrences; a phrase is its numbers, 32 bits each, highest byte first."""
     spark = codes.sparkSession
@@ -244,6 +255,8 @@ def frequent_phrases(codes: DataFrame, length: int, shorter: np.ndarray | None,
 
     sent = spark.sparkContext.broadcast(screen(codes.mapInArrow(count_cells, "block long, counts binary"), min_count, SCREEN_ROWS * cells))
 
+    buckets = max(16, cells >> 12)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _bits(sent.value, SCREEN_ROWS * cells)
         held, size = [np.empty((0, length), np.int32)], 0  # phrases met so far in this task
@@ -256,11 +269,29 @@ def frequent_phrases(codes: DataFrame, length: int, shorter: np.ndarray | None,
                 held = [_distinct(np.concatenate(held))]
                 size = len(held[0])
                 if size > HELD_PHRASES // 2:
-                    yield _rows(held[0])
+                    yield _bucketed(held[0], buckets)
                     held, size = [held[0][:0]], 0
-        yield _rows(_distinct(np.concatenate(held)))
+        yield _bucketed(_distinct(np.concatenate(held)), buckets)
 
-    candidates = materialize(codes.mapInArrow(find, "phrase binary").distinct(), f"candidates-{length}")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = None, [], 0
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != at:
+                    if held:
+                        yield _rows(_distinct(np.concatenate(held)))
+                    at, held, size = bucket, [], 0
+                held.append(np.frombuffer(packed.as_buffer(), np.int32).reshape(-1, length))
+                size += len(held[-1])
+                if size > HELD_PHRASES:
+                    held = [_distinct(np.concatenate(held))]
+                    size = 0
+        if held:
+            yield _rows(_distinct(np.concatenate(held)))
+
+    # The tasks' phrases meet in buckets of their hash, as arrays.
+    met = codes.mapInArrow(find, "bucket long, phrases binary").repartition("bucket").sortWithinPartitions("bucket")
+    candidates = materialize(met.mapInArrow(merge, "phrase binary"), f"candidates-{length}")
     tries = max(1, -(-candidates.count() // trie_phrases))
     parts = []
     for i in range(tries):
