@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowprofile.catalog import queries
 from flowprofile.catalog.fixtures import rounded, rounding
 from flowprofile.functions.columns import short_methods
+from flowprofile.operators import distinct, prep
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
@@ -38,3 +39,34 @@ def test_comparable_reads_as_rounding(spark):
     df = spark.createDataFrame([(1.0000005, "x", 1), (float("nan"), None, None), (-0.0, "y", 3)], "`a b` double, t string, n bigint")
     got = [tuple(row) for row in queries.comparable(df).collect()]
     assert got == [(1.000001, "x", 1), (None, None, None), (0.0, "y", 3)]
+
+
+def _with_copies(spark):
+    rows = [(float(i), i % 7, "a" if i % 3 else None, f"id{i:05d}") for i in range(3000)]
+    rows += [(float(i), i % 7, "a" if i % 3 else None, f"id{i:05d}-copy") for i in range(0, 3000, 50)]
+    rows += [(0.0, 9, "z", "p"), (-0.0, 9, "z", "o"), (float("nan"), 9, "z", "n"), (float("nan"), 9, "z", "m"), (-0.0, 10, "z", "l"), (None, 9, "z", "k"), (None, 9, "z", "j")]
+    rows += [(5.5, 5, "hot", f"h{i:04d}") for i in range(2000)]
+    return spark.createDataFrame(rows, "x double, n int, t string, id string").repartition(7)
+
+
+def test_only_rows_with_copies_are_shuffled(spark):
+    df = _with_copies(spark)
+    singles, repeated = distinct.split_singles(df, ["x", "n", "t"])
+    assert singles.count() + repeated.count() == df.count()
+    assert singles.count() == 3000 - 60 + 1
+    assert repeated.where("x = 5.5 and n = 5 and t = 'hot'").count() == 2000
+    got = prep.deduplicate(df, ["x", "n"], "t")
+    assert got.count() == 3000 + 4 + 1
+    kept = {r["id"] for r in got.collect()}
+    assert {"o", "m", "l", "j", "h0000", "id00050", "id00051"} <= kept and not kept & {"p", "n", "k", "h0001", "id00050-copy"}
+    assert [str(r["x"]) for r in got.where("n = 10").collect()] == ["0.0"]
+
+
+def test_copies_are_found_whatever_the_map(spark, monkeypatch):
+    df = _with_copies(spark)
+    want = sorted(map(str, prep.deduplicate(df, ["x", "n"], "t").collect()))
+    monkeypatch.setattr(distinct, "MAP_BITS", 13)
+    monkeypatch.setattr(distinct, "HELD_DIGESTS", 64)
+    assert sorted(map(str, prep.deduplicate(df, ["x", "n"], "t").collect())) == want
+    assert prep.deduplicate(df.limit(0), ["x", "n"], "t").count() == 0
+    assert prep.deduplicate(df.drop("id")).count() == 3005
