@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowprofile.catalog import queries
 from flowprofile.catalog.fixtures import rounded, rounding
 from flowprofile.functions.columns import short_methods
-from flowprofile.operators import distinct, prep
+from flowprofile.operators import distinct, kmeans, prep
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
@@ -70,3 +70,20 @@ def test_copies_are_found_whatever_the_map(spark, monkeypatch):
     assert sorted(map(str, prep.deduplicate(df, ["x", "n"], "t").collect())) == want
     assert prep.deduplicate(df.limit(0), ["x", "n"], "t").count() == 0
     assert prep.deduplicate(df.drop("id")).count() == 3005
+
+
+def test_training_reads_partitions_as_they_are(spark, monkeypatch):
+    """Joined partitions grow with the table, and unevenly."""
+    rows = [(float(i % 5), float(i % 3)) for i in range(4000)]
+    seen = []
+    original = kmeans._assign_and_sum
+
+    def noted(blocks, d, models):
+        seen.append(blocks.rdd.getNumPartitions())
+        return original(blocks, d, models)
+
+    monkeypatch.setattr(kmeans, "_assign_and_sum", noted)
+    start = [[0.0, 0.0], [4.0, 2.0]]
+    parts = 2 * spark.sparkContext.defaultParallelism
+    model = kmeans.train_kmeans(spark.createDataFrame(rows, "x double, y double").repartition(parts), ["x", "y"], 2, init={2: start})
+    assert set(seen) == {parts} and sum(model.sizes) == 4000
