@@ -87,3 +87,15 @@ def test_training_reads_partitions_as_they_are(spark, monkeypatch):
     parts = 2 * spark.sparkContext.defaultParallelism
     model = kmeans.train_kmeans(spark.createDataFrame(rows, "x double, y double").repartition(parts), ["x", "y"], 2, init={2: start})
     assert set(seen) == {parts} and sum(model.sizes) == 4000
+
+
+def test_only_unusable_rows_are_told_apart_by_element(spark):
+    fitted = prep.FittedPreprocessor((prep.FeatureParameters("a", 0, True, 0.0, 1.0, 2.0), prep.FeatureParameters("b", 1, False, 0.0, 0.0, 1.0)))
+    rows = [(1, 0.0, 2.0), (2, -3.0, 2.0), (3, None, float("inf")), (4, float("nan"), 1.0), (5, 1e300, -1e300), (6, -1.0, 0.0)]
+    checked = fitted.checked_array(spark.createDataFrame(rows, "id int, a double, b double"))
+    got = {r["id"]: (r["s"], r["reasons"]) for r in checked.selectExpr("_row.id", "_scaled as s", "reasons").collect()}
+    assert got[1] == ([-0.5, 2.0], []) and got[5][1] == [] and got[5][0][1] == -1e300
+    assert got[2] == ([None, 2.0], ["not finite after preprocessing: a"]) and got[6] == ([None, 0.0], ["not finite after preprocessing: a"])
+    assert got[3] == ([None, None], ["missing or infinite: a", "missing or infinite: b"]) and got[4] == ([None, 1.0], ["missing or infinite: a"])
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "_fine" in plan
