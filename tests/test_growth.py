@@ -99,3 +99,51 @@ def test_only_unusable_rows_are_told_apart_by_element(spark):
     assert got[3] == ([None, None], ["missing or infinite: a", "missing or infinite: b"]) and got[4] == ([None, 1.0], ["missing or infinite: a"])
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     assert "_fine" in plan
+
+
+def test_training_steps_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    x = np.vstack([r.normal(size=(900, 4)), [[1.0, 0, 0, 0], [0.0, 0, 0, 0], [0.5, 0, 0, 0]]])
+    blocks = kmeans._pack(spark.createDataFrame(x.tolist(), "a double, b double, c double, d double").repartition(3), 4)
+    square = lambda c: ((x[:, None] - c[None]) ** 2).sum(-1)
+    # A row half-way between two centroids belongs to the first; so do all rows where both are the same.
+    models = [np.array([[1.0, 0, 0, 0], [0.0, 0, 0, 0]]), np.array([[2.0, 1, 0, 0]] * 2), x[:3], x[3:6], x[:7]]
+    counts, sums, errors = kmeans._assign_and_sum(blocks, 4, models)
+    for m, n, s, e in zip(models, counts, sums, errors, strict=True):
+        own = square(m).argmin(1)
+        assert n.tolist() == np.bincount(own, minlength=len(m)).tolist()
+        assert np.allclose(s, [x[own == c].sum(0) for c in range(len(m))]) and np.isclose(e, square(m).min(1).sum())
+    seeds, owner, salts = x[:6].reshape(2, 3, 4), np.array([0, 0, 0, 1, 1]), np.array([11, 22, 33, 44, 55], np.uint64) << np.uint64(40)
+    drawn = kmeans._drawn(blocks, 4, seeds, owner, salts)
+    for row, slot, salt in zip(drawn, owner, salts, strict=True):
+        u = (kmeans._mix(kmeans._row_digests(x) ^ salt) >> np.uint64(11)).astype(float) * 2.0 ** -53 + 2.0 ** -54
+        assert row.tolist() == x[(-np.log(u) / np.maximum(square(seeds[slot]).min(1), 1e-300)).argmin()].tolist()
+    errors = kmeans._trial_errors(blocks, 4, seeds, owner, np.array(drawn))
+    assert np.allclose(errors, [square(np.vstack([seeds[s], d])).min(1).sum() for s, d in zip(owner, drawn, strict=True)])
+    far = kmeans._farthest_rows(blocks, 4, [x[:2], x[5:9]])
+    assert [f.tolist() for f in far] == [x[square(m).min(1).argmax()].tolist() for m in (x[:2], x[5:9])]
+
+
+def test_training_rows_travel_in_small_batches(spark):
+    """A partition that crosses to Python as one batch keeps a core waiting."""
+    names = [f"f{i}" for i in range(24)]
+    blocks = kmeans._pack(spark.range(0, 300_000, 1, 1).selectExpr(*[f"id + {i}D as {n}" for i, n in enumerate(names)]), 24)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_arrays([[batch.nbytes]], names=["bytes"])
+
+    seen = [r["bytes"] for r in blocks.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(seen) >= 300_000 * 24 * 8 and max(seen) < 1 << 24
+
+
+def test_training_spreads_rows_that_lie_in_one_partition(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 8_000 * cores, 1, 1).selectExpr("id % 7 + 0D as x", "id % 5 + 0D as y", "id + 0D as z")
+    rows = df.unionByName(df.limit(10))
+    blocks = kmeans._spread(rows, 3, rows.count())
+    held = [len(b) for b in blocks.rdd.glom().map(lambda p: [0] * len(p)).collect()]
+    assert len(held) == cores and max(held) < 3 * sum(held) / cores
+    start = [[0.0, 0.0, 0.0], [6.0, 4.0, 1000.0]]
+    model = kmeans.train_kmeans(rows, ["x", "y", "z"], 2, init={2: start}, max_iter=3)
+    assert sum(model.sizes) == 8_000 * cores + 10
