@@ -18,6 +18,7 @@ from flowprofile.functions.columns import (
     as_doubles, finite_or_null, is_infinite, nan_to_null, number, numeric_columns, percent_sql, q, skewness_sql, text, verdict_sql,
 )
 from flowprofile.functions.quantiles import quantile_table
+from flowprofile.operators.distinct import distinct_counts
 from flowprofile.operators.gram import pair_sums
 
 HISTOGRAM_BINS = 50
@@ -231,6 +232,8 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
         # Pre-combined by value, so a value shared by a third of all rows travels once per task.
         # Each type is compared as itself: large integers and decimals would meet as doubles.
         def distinct(names: Sequence[str], as_type: str) -> DataFrame:
+            if as_type in ("double", "bigint"):
+                return distinct_counts(clean.selectExpr(*[f"cast({q(n)} as {as_type}) as {q(n)}" for n in names]))
             pairs = "array(" + ", ".join(f"cast({q(n)} as {as_type})" for n in names) + ")"
             return (
                 clean.selectExpr(f"posexplode({pairs}) as (fid, v)").where("v is not null").distinct()

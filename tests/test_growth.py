@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowprofile.catalog import queries
 from flowprofile.catalog.fixtures import rounded, rounding
 from flowprofile.functions.columns import short_methods
-from flowprofile.operators import distinct, kmeans, prep
+from flowprofile.operators import distinct, kmeans, prep, profile
 
 LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
@@ -147,3 +147,18 @@ def test_training_spreads_rows_that_lie_in_one_partition(spark, monkeypatch):
     start = [[0.0, 0.0, 0.0], [6.0, 4.0, 1000.0]]
     model = kmeans.train_kmeans(rows, ["x", "y", "z"], 2, init={2: start}, max_iter=3)
     assert sum(model.sizes) == 8_000 * cores + 10
+
+
+def test_distinct_values_travel_in_blocks(spark, monkeypatch):
+    big = 2 ** 53
+    rows = [(i % 4000 * 0.5, -0.0 if i % 2 else 0.0, big + i % 3, i, None, float("inf") if i % 5 else None) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "x double, `zero a` double, big bigint, id bigint, none bigint, inf double").repartition(5)
+    want = {"x": 4000, "zero a": 1, "big": 3, "id": 20_000, "inf": 1}
+    assert {r["feature"]: r["n_unique"] for r in distinct.distinct_counts(df).collect()} == want
+    monkeypatch.setattr(distinct, "HELD_VALUES", 1000)
+    assert {r["feature"]: r["n_unique"] for r in distinct.distinct_counts(df).collect()} == want
+    assert distinct.distinct_counts(df.limit(0)).count() == 0
+    profiled = profile.column_profile(df)
+    assert {r["feature"]: r["n_unique"] for r in profiled.collect()} == want | {"none": 0}
+    # No row per value crosses to the next tasks.
+    assert "words" in profiled._jdf.queryExecution().optimizedPlan().toString()
