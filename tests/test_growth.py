@@ -162,3 +162,15 @@ def test_distinct_values_travel_in_blocks(spark, monkeypatch):
     assert {r["feature"]: r["n_unique"] for r in profiled.collect()} == want | {"none": 0}
     # No row per value crosses to the next tasks.
     assert "words" in profiled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_inertia_meets_only_the_own_centroid(spark):
+    """Not every centroid of every row, through Python."""
+    rows = [(1.0, 2.0, 0), (3.0, 5.0, 1), (7.0, 7.0, None), (None, 1.0, None)]
+    df = spark.createDataFrame(rows, "`a b` double, y double, cluster int")
+    centers = [[0.0, 0.0], [3.0, 4.0]]
+    found = kmeans.inertia(df, ["a b", "y"], centers)
+    assert [r["inertia"] for r in found.collect()] == [6.0]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert kmeans.inertia(df.where("cluster is null"), ["a b", "y"], centers).first()["inertia"] is None
+    assert np.isnan(kmeans.inertia(df.withColumn("cluster", F.lit(1)), ["a b", "y"], centers).first()["inertia"])
