@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from flowprofile.catalog import queries
 from flowprofile.catalog.fixtures import rounded, rounding
+from flowprofile.config import PipelineConfig
 from flowprofile.functions.columns import short_methods
 from flowprofile.operators import distinct, kmeans, prep, profile
 
@@ -174,3 +176,17 @@ def test_inertia_meets_only_the_own_centroid(spark):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
     assert kmeans.inertia(df.where("cluster is null"), ["a b", "y"], centers).first()["inertia"] is None
     assert np.isnan(kmeans.inertia(df.withColumn("cluster", F.lit(1)), ["a b", "y"], centers).first()["inertia"])
+
+
+def test_cleaned_table_is_written_without_large_dictionaries(spark):
+    """Looking up measurements in a dictionary of 1 MB, until it is full, takes most of the time of writing them."""
+    rows = 60_000
+    df = spark.range(0, rows, 1, 1).selectExpr("id * 1.5D as a", "cast(id % 5 as double) as b")
+    with prep.preprocess(df, PipelineConfig(features=("a", "b"), label="none")) as done:
+        assert done.cleaned.selectExpr("count(*) as n", "sum(a) as a", "sum(b) as b").first() == (rows, 1.5 * rows * (rows - 1) / 2, 2.0 * rows)
+        metas = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in done.cleaned.inputFiles()]
+        groups = [m.row_group(g) for m in metas for g in range(m.num_row_groups)]
+        big = max(groups, key=lambda g: g.num_rows)
+        assert big.num_rows > (1 << 17) // 8
+        sizes = {big.column(c).path_in_schema: big.column(c) for c in range(2)}
+        assert "PLAIN" in sizes["a"].encodings and "PLAIN" not in sizes["b"].encodings
