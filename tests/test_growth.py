@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from flowprofile.catalog import queries
 from flowprofile.catalog.fixtures import rounded, rounding
 from flowprofile.config import PipelineConfig
+from flowprofile.functions import quantiles
 from flowprofile.functions.columns import short_methods
 from flowprofile.operators import distinct, kmeans, prep, profile
 
@@ -190,3 +192,22 @@ def test_cleaned_table_is_written_without_large_dictionaries(spark):
         assert big.num_rows > (1 << 17) // 8
         sizes = {big.column(c).path_in_schema: big.column(c) for c in range(2)}
         assert "PLAIN" in sizes["a"].encodings and "PLAIN" not in sizes["b"].encodings
+
+
+def test_quantile_bins_are_counted_in_batches(spark, monkeypatch):
+    """No row per value of every column is made, and the quantiles are those of the sorted values."""
+    r = np.random.default_rng(7)
+    odd = r.choice([5e-324, -5e-324, 0.0, -0.0, 1e-310, -1e308, 1e308, float("inf"), float("-inf")], 3000)
+    table = {"w a": r.normal(size=3000) * 10.0 ** r.integers(-300, 300, 3000), "b": np.where(r.random(3000) < 0.4, 0.0, r.normal(size=3000)), "c": np.full(3000, -3.0), "d": odd}
+    rows = [tuple([None, float("nan")][i % 2] if i % 17 == 0 else float(v[i]) for v in table.values()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "`w a` double, b double, c double, d double").repartition(5)
+    for held in (quantiles.HELD_BINS, 50):
+        monkeypatch.setattr(quantiles, "HELD_BINS", held)
+        found = quantiles.exact_quantiles(df, list(table), [0.0, 0.1, 0.25, 0.5, 0.9, 1.0])
+        assert len(found) == 4 * 6
+        for f in found:
+            values = sorted(v[list(table).index(f["feature"])] for i, v in enumerate(rows) if i % 17)
+            at = f["prob"] * (len(values) - 1)
+            assert (f["lower"], f["upper"]) == (values[int(np.floor(at))], values[int(np.ceil(at))])
+    assert "Generate" not in quantiles._counted_bins(df, list(table))._jdf.queryExecution().optimizedPlan().toString()
+    assert quantiles.exact_quantiles(df.limit(0), ["b"], [0.5]) == []
