@@ -211,3 +211,28 @@ def test_quantile_bins_are_counted_in_batches(spark, monkeypatch):
             assert (f["lower"], f["upper"]) == (values[int(np.floor(at))], values[int(np.ceil(at))])
     assert "Generate" not in quantiles._counted_bins(df, list(table))._jdf.queryExecution().optimizedPlan().toString()
     assert quantiles.exact_quantiles(df.limit(0), ["b"], [0.5]) == []
+
+
+def test_training_reads_its_table_for_packing_only(spark, monkeypatch):
+    """Counts and variances come from the packed rows, not from further scans that scale every row again."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 3)) * [1.0, 1e3, 1e-3] + [5.0, 1e6, 0.0]
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(6)
+    total, filled, variance = kmeans._moments(kmeans._pack(df, 3), 3)
+    assert total == 3000 and filled.tolist() == [3000] * 3 and np.allclose(variance, x.var(0), rtol=1e-12)
+    gaps = spark.createDataFrame([(1.0, None), (2.0, 4.0), (float("nan"), 8.0)], "a double, b double")
+    total, filled, variance = kmeans._moments(kmeans._pack(gaps, 2), 2)
+    assert total == 3 and filled.tolist() == [2, 2] and variance.tolist() == [0.25, 4.0]
+    assert kmeans._moments(kmeans._pack(gaps.limit(0), 2), 2)[0] == 0
+    monkeypatch.setattr(kmeans, "per_feature", None, raising=False)
+    model = kmeans.train_kmeans(df, ["a", "b", "c"], 2, init={2: x[:2].tolist()}, max_iter=3)
+    assert sum(model.sizes) == 3000
+    for bad, message in ((gaps, r"missing values in: \['a', 'b'\]"), (df.limit(1), "1 rows cannot form 2 clusters"), (df.limit(0), "0 rows cannot form 2 clusters")):
+        with pytest.raises(ValueError, match=message):
+            kmeans.train_kmeans(bad, bad.columns, 2, init={2: np.zeros((2, len(bad.columns))).tolist()})
+
+
+def test_given_starts_take_the_mean_only_where_it_is_used(spark, monkeypatch):
+    monkeypatch.setattr(queries, "given_centers", lambda spark, sf_dir: [[float(c)] for c in range(7)])
+    monkeypatch.setattr(queries, "prepared", None)
+    assert queries.given_starts(spark, "unread", 4) == [[0.0], [1.0], [2.0], [3.0]]
