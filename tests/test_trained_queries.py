@@ -1,6 +1,7 @@
 """The registered trainings and their metrics against plain numpy."""
 
 import os
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -61,3 +62,21 @@ def test_seeded_sweep_trains_every_k(spark):
         assert sum(model.sizes) == len(x) and list(model.sizes) == sorted(model.sizes, reverse=True)
         assert np.bincount(labels, minlength=k).tolist() == pytest.approx(list(model.sizes), abs=len(x) * 1e-3)
         assert errors.sum() <= ((x - x.mean(0)) ** 2).sum()
+
+
+def test_train_kmeans_draws_its_starts_and_goes_on_until_nothing_moves(spark, monkeypatch):
+    """Two pairs of blobs; from the centroids of the given assignment, one within the first pair and three within the second, no iteration parts the first."""
+    rng = np.random.default_rng(5)
+    means = np.array([[0.0] * 24, [0.0] * 12 + [9.0] * 12, [60.0] * 24, [60.0] * 12 + [69.0] * 12])
+    sizes = [400, 300, 200, 100]
+    x = np.vstack([rng.normal(m, 0.5, (n, 24)) for m, n in zip(means, sizes, strict=True)])
+    scaled = spark.createDataFrame(x.tolist(), ", ".join(f"`{f}` double" for f in queries.FEATURES)).repartition(3)
+    monkeypatch.setattr(queries, "prepared", lambda spark, sf_dir: SimpleNamespace(scaled=scaled))
+    monkeypatch.setattr(queries, "given_centers", lambda spark, sf_dir: [means[:2].mean(0).tolist(), *[(means[i] + d).tolist() for i, d in ((2, -0.1), (2, 0.1), (3, 0.0))]])
+    rows = queries.train_kmeans(spark, "own rows").collect()
+    found = np.zeros((4, 24))
+    for r in rows:
+        found[r["cluster"], r["ordinal"]] = r["value"]
+    assert {(r["cluster"], r["size"]) for r in rows} == set(enumerate(sizes))
+    at = np.cumsum([0, *sizes])
+    assert found == pytest.approx(np.array([x[a:b].mean(0) for a, b in zip(at[:-1], at[1:], strict=True)]), abs=1e-5)
