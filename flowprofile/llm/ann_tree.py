@@ -145,8 +145,7 @@ def nearest_neighbours(
     """query_id, rank (from 1), vec_id, score (distance). `is_query` is a condition on the column `id`."""
     usable, renamed = usable_vectors(embeddings, is_query, key=key, vector=vector, nonzero=True)
     total, dims = usable.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    by_hash = usable.orderBy(F.xxhash64("id"), "id")
-    fitted = stack(by_hash.limit(sample).toPandas()["v"], dims)
+    fitted = stack(_lowest(usable, sample)["v"], dims)
     tree = fit_tree(fitted, max(MIN_LEAF_SAMPLE, leaf_rows * len(fitted) // max(1, total)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,20 +163,21 @@ def nearest_neighbours(
     index = index.drop("off")
 
     def traverse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Leaves of each query: the first ones while it has no bound, the further ones that may be nearer once it has."""
+        """Leaves of each query: the first ones while it has no bound, the further ones that may be nearer once it has. A query's vector stands there once, however many they are."""
         for batch in batches:
-            out: list[tuple[int, object, float, int]] = []
-            for identifier, v, bound, q in zip(batch["id"].tolist(), batch["v"], batch["bound"].tolist(), stack(batch["v"], dims), strict=True):
-                held = 0
+            chosen = []
+            for bound, q in zip(batch["bound"].tolist(), stack(batch["v"], dims), strict=True):
+                held, leaves = 0, []
                 for turn, (leaf, distance) in enumerate(tree.best_bins(q)):
                     early = turn < FIRST_VISITS or held <= k
                     if turn >= visits and held > k or (bound < 0 and not early):
                         break
                     held += sizes[leaf]
                     if bound < 0 or not (early or distance - radii[leaf] > bound * (1 + 1e-9)):
-                        out.append((identifier, v, bound, leaf))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "v", "bound", "leaf"])
+                        leaves.append(leaf)
+                chosen.append(np.array(leaves, dtype=np.int32))
+            if chosen:
+                yield batch.assign(leaves=chosen)
 
     def visit(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
@@ -189,7 +189,8 @@ def nearest_neighbours(
 
     def searched(queries: DataFrame) -> DataFrame:
         """The nearest rows of the leaves that the queries (id, v, bound) visit."""
-        plans = materialize(queries.mapInPandas(traverse, "id long, v array<double>, bound double, leaf int"), "visits")
+        chosen = materialize(queries.mapInPandas(traverse, "id long, v array<double>, bound double, leaves array<int>"), "visits")
+        plans = chosen.select("id", "v", "bound", F.explode("leaves").alias("leaf"))
         asked = np.zeros(tree.leaves, dtype=np.int64)
         for leaf, n in plans.groupBy("leaf").count().toPandas().itertuples(index=False):
             asked[leaf] = n
@@ -216,6 +217,18 @@ def nearest_neighbours(
     return renamed(best(first.drop("rank").unionByName(further))).select("query_id", "rank", "vec_id", "score")
 
 
+def _lowest(rows: DataFrame, n: int) -> pd.DataFrame:
+    """The n rows (id, v) of lowest id hash, in its order. Every task names its n lowest by hash and id; vectors are read for the rows that are chosen."""
+    digest = F.xxhash64("id")
+    keys = rows.select(digest.alias("h"), "id").orderBy("h", "id").limit(n).toPandas()
+    if len(keys) < n:
+        found = rows.select(digest.alias("h"), "id", "v")
+    else:
+        h, identifier = keys.iloc[-1].tolist()
+        found = rows.select(digest.alias("h"), "id", "v").where((F.col("h") < h) | ((F.col("h") == h) & (F.col("id") <= identifier)))
+    return found.toPandas().sort_values(["h", "id"])
+
+
 def _calibrate(index: DataFrame, tree: KMeansTree, k: int, recall: float, dims: int) -> int:
     """Leaf visits at which the calibration rows find `recall` of their true neighbours."""
     chosen = index.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(CALIBRATION).toPandas()

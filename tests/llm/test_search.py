@@ -143,3 +143,21 @@ def test_distances_of_any_finite_size(spark):
     assert {(r.query_id, r.vec_id): r.score for r in got if r.query_id < 8 and r.vec_id < 8} == {
         (i, j): (pytest.approx(np.hypot(*(np.array(v) - np.array(w))), rel=1e-12) if {i, j} != {6, 7} else np.inf) for i, v in rows[:7] for j, w in rows[:7] if i != j
     }
+
+
+def test_vectors_are_written_once_per_query_and_few_reach_the_driver(spark, monkeypatch):
+    """A query that visits many leaves is one row of the visits, and tasks name the sample by ids before any vector is read."""
+    written = []
+    monkeypatch.setattr(ann_tree, "materialize", lambda df, name="table", keep=ann_tree.materialize: written.append((name, keep(df, name))) or written[-1][1])
+    rows = [*enumerate(clustered(2000, 8, 5))]
+    got = ann_tree.nearest_neighbours(table(spark, rows).repartition(4), F.col("id") % 20 == 0, leaf_rows=16, sample=500).collect()
+    assert len(got) == 100 * 10
+    visits = [df for name, df in written if name == "visits"]
+    assert len(visits) == 2 and all(df.count() <= 100 for df in visits)
+    assert max(df.selectExpr("max(size(leaves))").first()[0] for df in visits) > 1
+
+    frame = table(spark, rows).selectExpr("vec_id as id", "embedding as v").repartition(4)
+    for n in (500, 2000, 9000):
+        low = ann_tree._lowest(frame, n)
+        assert low["id"].tolist() == [r["id"] for r in frame.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+    assert ann_tree._lowest(frame.limit(0), 5).empty
