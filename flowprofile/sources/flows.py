@@ -11,6 +11,10 @@ from flowprofile.functions.aggregates import per_feature
 from flowprofile.functions.columns import q, require_columns
 
 
+# How a packed CSV is written: the fourth of nine levels packs nearly as small as the default one in little more than half its time. A packed file is read by one task, so none gets long.
+PACKED = {"zlib.compress.level": "FOUR", "maxRecordsPerFile": str(1 << 20)}
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     # Through Hadoop's file system API, so that hdfs:// and object-store paths work as local ones do.
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -84,9 +88,11 @@ def separate_labels(df: DataFrame, label: str = LABEL_COLUMN) -> tuple[DataFrame
     return df.drop(label), df.select(q(label))
 
 
-def write_sample(df: DataFrame, path: str, fmt: str = "csv") -> str:
-    """Write with header and without index; parent folders are created, an older sample is replaced."""
+def write_sample(df: DataFrame, path: str, fmt: str = "csv", compression: str | None = None) -> str:
+    """Write with header and without index; parent folders are created, an older sample is replaced. `load_flows` reads the files of a CSV packed by `gzip`, too."""
     writer = df.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression).options(**PACKED)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:

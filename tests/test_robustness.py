@@ -8,7 +8,7 @@ import pytest
 from flowprofile.config import PipelineConfig
 from flowprofile.functions.storage import materialize_at, new_path, remove, shared_folder
 from flowprofile.operators import gram, interpret, prep, profile
-from flowprofile.sources import load_flows
+from flowprofile.sources import load_flows, write_sample
 
 
 def test_csv_keeps_text_and_wide_integers(spark, tmp_path):
@@ -93,3 +93,14 @@ def test_a_folder_is_found_without_a_setting(spark):
     assert table.count() == 3
     remove(spark, path)
     assert not pathlib.Path(path.removeprefix("file:")).parent.exists()
+
+
+def test_packed_csv_holds_the_same_rows(spark, tmp_path):
+    rows = [(i, i / 7, None if i % 5 else "a, b") for i in range(5000)]
+    df = spark.createDataFrame(rows, "n bigint, x double, t string").repartition(3)
+    plain, packed = write_sample(df, str(tmp_path / "plain.csv")), write_sample(df, str(tmp_path / "packed.csv"), compression="gzip")
+    size = lambda path: sum(f.stat().st_size for f in pathlib.Path(path).glob("part-*"))
+    assert all(f.name.endswith(".csv.gz") for f in pathlib.Path(packed).glob("part-*")) and size(packed) < size(plain) / 2
+    read = [load_flows(spark, path, required=["n", "x"], text_columns=["t"]) for path in (plain, packed)]
+    assert read[0].schema == read[1].schema
+    assert sorted(map(tuple, read[1].collect()), key=repr) == sorted(map(tuple, read[0].collect()), key=repr) == sorted(rows, key=repr)
