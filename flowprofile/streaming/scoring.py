@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowprofile.functions.columns import q
 from flowprofile.functions.storage import new_path
 from flowprofile.sources.bundle import load_bundle
 from flowprofile.operators.prep import FittedPreprocessor
-from flowprofile.operators.score import score_flows
+from flowprofile.operators.score import RESULT, score_flows
 
 
 def score_stream(stream: DataFrame, preprocessor: FittedPreprocessor, centers: Sequence[Sequence[float]]) -> DataFrame:
@@ -37,27 +38,30 @@ def write_scores(scored: DataFrame, path: str | None = None, checkpoint: str | N
     return path
 
 
-def write_batch(batch: DataFrame, batch_id: int, bundle: str, path: str) -> None:
+def write_batch(batch: DataFrame, batch_id: int, bundle: str, path: str, keep: Sequence[str] | None = None) -> None:
     """Score one micro-batch by the newest version of the bundle and write it, with the version, as the folder of its number.
 
-    A batch that is repeated after a failure replaces what it wrote before, so no row counts twice, and all its rows are of one version.
+    A batch that is repeated after a failure replaces what it wrote before, so no row counts twice, and all its rows are of one version. `keep` names the columns of the
+    flows that are written beside the scores, where not all of them are.
     """
     model = load_bundle(batch.sparkSession, bundle)
     if model.preprocessor is None:
         raise ValueError("the bundle has no preprocessor")
     scored = score_flows(batch, model.preprocessor, model.model.centers, on_bad="route")
-    scored.withColumn("model_version", F.lit(model.version)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    if keep is not None:
+        scored = scored.select(*map(q, keep), *RESULT, "reasons")
+    scored.withColumn("model_version", F.lit(model.version)).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch_id={batch_id}")
 
 
-def score_with_bundle(stream: DataFrame, bundle: str, path: str | None = None, checkpoint: str | None = None) -> str:
+def score_with_bundle(stream: DataFrame, bundle: str, path: str | None = None, checkpoint: str | None = None, keep: Sequence[str] | None = None) -> str:
     """Score everything available now, each micro-batch by the bundle's newest version at that moment; returns the output folder, partitioned by batch_id.
 
-    Started again from the same checkpoint it goes on where it stood, by then with newer versions.
+    Started again from the same checkpoint it goes on where it stood, by then with newer versions. `keep`: see `write_batch`.
     """
     spark = stream.sparkSession
     path = path or new_path(spark, "scored")
     query = (
-        stream.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, bundle, path))
+        stream.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, bundle, path, keep))
         .option("checkpointLocation", checkpoint or new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
